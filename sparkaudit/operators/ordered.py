@@ -45,8 +45,6 @@ def order_bucket(df: DataFrame, order: str, buckets: int | None = None) -> DataF
     return cut.withColumn("_bucket", bucket).drop("_splits")
 
 
-def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return left.join(right, list(keys), "inner")
 
 
 def prefix_sums(
@@ -85,7 +83,7 @@ def prefix_sums(
         *measures,
         *[F.coalesce(F.sum(m).over(inside), F.lit(0)).alias(f"_l_{m}") for m in measures],
     )
-    joined = _null_safe_join(local, offsets, [*keys, "_bucket"])
+    joined = null_safe_join(local, offsets, [*keys, "_bucket"])
     return joined.select(
         *keys,
         order,
@@ -95,7 +93,7 @@ def prefix_sums(
     )
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Inner join where NULL keys meet each other, with one copy of the keys."""
     renamed = right
     for k in keys:
@@ -131,7 +129,7 @@ def previous_row(
     last = bucketed.groupBy(*keys, "_bucket").agg(F.max_by(packed, F.struct(order, *ties)).alias("_last"))
     across = Window.partitionBy(*keys).orderBy("_bucket")
     carry = last.select(*keys, "_bucket", F.lag("_last").over(across).alias("_carry"))
-    joined = _null_safe_join(rows, carry, [*keys, "_bucket"])
+    joined = null_safe_join(rows, carry, [*keys, "_bucket"])
     prev = F.coalesce("_prev", "_carry")
     return joined.select(
         *[c for c in df.columns],
