@@ -36,10 +36,12 @@ def order_bucket(df: DataFrame, order: str, buckets: int | None = None) -> DataF
     """Add ``_bucket``, monotone in ``order``.
 
     Integers are cut into blocks of 65,536 values, so a bucket has a fixed bound after
-    pre-aggregation. Other numbers are cut at global quantiles.
+    pre-aggregation. Other numbers are cut at global quantiles, text at its first three characters.
     """
     if _is_integer(df, order):
         return df.withColumn("_bucket", F.shiftright(F.col(order).cast("bigint"), POSITION_BITS))
+    if isinstance(df.schema[order].dataType, T.StringType):
+        return df.withColumn("_bucket", F.substring(order, 1, 3))
     cut = df.withColumn("_splits", value_splits(df, order, buckets))
     bucket = F.size(F.filter("_splits", lambda s: s < F.col(order).cast("double"))).cast("bigint")
     return cut.withColumn("_bucket", bucket).drop("_splits")
