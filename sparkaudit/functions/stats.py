@@ -98,11 +98,10 @@ def smd_pooled(m1: Column, s1: Column, n1: Column, m0: Column, s0: Column, n0: C
 
 
 def smd_paired(m1: Column, s1: Column, m0: Column, s0: Column, n: Column, r: Column) -> tuple[Column, Column]:
-    """Paired difference over the root-mean-square SD of the two arms, with within-pair correlation r.
+    """Paired mean difference over the root-mean-square SD of the two arms; r is the within-pair correlation.
 
-    Variance for heteroscedastic arms: with d = y/J and sd_m^2 = (s1^2+s0^2)/2,
-    v = [s_diff^2 + (d^2/4)(s1^4 + s0^4 + 2 r^2 s1^2 s0^2)/... ] in the delta-method form
-    s_diff^2/(sd_m^2 (n-1)) + y^2 (s1^4 + s0^4 + 2 r^2 s1^2 s0^2) / (8 sd_m^4 (n-1)).
+    With m = (s1^2 + s0^2)/2 the variance is
+    (s1^2 + s0^2 - 2 r s1 s0) / (m (n-1)) + y^2 (s1^4 + s0^4 + 2 r^2 s1^2 s0^2) / (8 m^2 (n-1)).
     """
     mean_var = (s1 * s1 + s0 * s0) / 2
     j = 1 - F.try_divide(F.lit(3.0), 4 * (n - 1) - 1)

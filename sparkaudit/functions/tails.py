@@ -11,6 +11,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -108,38 +109,38 @@ def t_quantile(p: float, df: np.ndarray) -> np.ndarray:
     return np.where(df > 0, (lo + hi) / 2, np.nan)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def p_from_z(z: pd.Series) -> pd.Series:
     """Two-sided P of a normal statistic."""
     return pd.Series(_erfc(np.abs(z.to_numpy(dtype=float, na_value=np.nan)) / math.sqrt(2)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def p_from_t(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided P of a t statistic."""
     return pd.Series(t_two_sided(t.to_numpy(float, na_value=np.nan), df.to_numpy(float, na_value=np.nan)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def p_from_chi2(x: pd.Series, df: pd.Series) -> pd.Series:
     """Upper tail of a chi-square statistic."""
     return pd.Series(gamma_tail(df.to_numpy(float, na_value=np.nan) / 2, x.to_numpy(float, na_value=np.nan) / 2))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def p_from_f(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     """Upper tail of an F statistic."""
     x, a, b = (s.to_numpy(float, na_value=np.nan) for s in (f, d1, d2))
     return pd.Series(beta_cdf(b / (b + a * x), b / 2, a / 2))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t975(df: pd.Series) -> pd.Series:
     """The 97.5 % quantile of t."""
     return pd.Series(t_quantile(0.975, df.to_numpy(float, na_value=np.nan)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sign_test_p(k: pd.Series, n: pd.Series) -> pd.Series:
     """Two-sided exact binomial P of k of n against one half."""
     a, m = k.to_numpy(float, na_value=np.nan), n.to_numpy(float, na_value=np.nan)

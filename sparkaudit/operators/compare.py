@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from sparkaudit.functions import text as X
 from sparkaudit.functions.stats import safe_corr
@@ -96,7 +97,7 @@ def anchor_presence(docs: DataFrame, anchors: Mapping[str, int | None], key: str
     return docs.select(key, F.inline(rows)).where(wrong)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of two short strings."""
     from difflib import SequenceMatcher
@@ -198,11 +199,11 @@ def affine_equivalent(df: DataFrame, a: str, b: str, keys: Sequence[str] = (), t
     return out.withColumn("equivalent", F.col("max_residual") <= tol)
 
 
-def fingerprint(df: DataFrame, digits: int = 9) -> DataFrame:
-    """Order-free digest of a result: rows, and a sum of row hashes (doubles rounded first)."""
+def fingerprint(df: DataFrame) -> DataFrame:
+    """Order-free digest of a result: rows, and a sum of row hashes (doubles at ten significant digits)."""
     cols: list[Column] = []
     for name, kind in df.dtypes:
-        cols.append(F.round(name, digits) if kind in ("double", "float") else F.col(name))
+        cols.append(F.format_string("%.9e", name) if kind in ("double", "float") else F.col(name))
     h = F.xxhash64(*cols).cast("decimal(38,0)")
     return df.select(h.alias("_h")).agg(F.count("*").alias("n"), F.coalesce(F.sum("_h"), F.lit(0)).alias("digest"))
 

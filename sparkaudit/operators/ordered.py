@@ -137,3 +137,19 @@ def previous_row(
         *[c for c in df.columns],
         *[prev.getField(v).alias(f"{prefix}{v}") for v in values],
     )
+
+
+def suffix_min(df: DataFrame, keys: Sequence[str], order: str, value: str, buckets: int | None = None) -> DataFrame:
+    """Add ``<value>_suffix``: the smallest value among rows of the group at or above the own order value.
+
+    One row per (keys, order) is expected.
+    """
+    keys = list(keys)
+    bucketed = order_bucket(df, order, buckets)
+    lows = bucketed.groupBy(*keys, "_bucket").agg(F.min(value).alias("_low"))
+    across = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(1, Window.unboundedFollowing)
+    later = lows.select(*keys, "_bucket", F.min("_low").over(across).alias("_later"))
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(order).rowsBetween(0, Window.unboundedFollowing)
+    local = bucketed.withColumn("_here", F.min(value).over(inside))
+    joined = null_safe_join(local, later, [*keys, "_bucket"])
+    return joined.select(*df.columns, F.least("_here", "_later").alias(f"{value}_suffix"))

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("text_queries", "relational_queries")
+MODULES = ("text_queries", "relational_queries", "stat_queries")
 
 
 def load_all() -> None:

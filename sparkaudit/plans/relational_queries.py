@@ -320,7 +320,7 @@ def agg_design_class(t: Tables) -> DataFrame:
         e AS (SELECT s_nationkey AS nation, l_returnflag AS flag, corr(l_quantity, l_discount) AS r, count(*) AS n
               FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_returnflag <> 'R' OR l_quantity = 50 GROUP BY ALL),
         z AS (SELECT nation, flag, CASE WHEN n < 30 THEN NULL ELSE r END AS est, abs(r) * sqrt(n) AS z FROM e)
-       SELECT g.nation, g.flag, CASE WHEN z.nation IS NULL THEN 'not_analysed' WHEN est IS NULL OR isnan(est) THEN 'not_estimable'
+       SELECT g.nation::BIGINT AS nation, g.flag, CASE WHEN z.nation IS NULL THEN 'not_analysed' WHEN est IS NULL OR isnan(est) THEN 'not_estimable'
          WHEN 1 / (1 + z.z) <= 0.5 THEN 'robust' ELSE 'not_significant' END AS status FROM g LEFT JOIN z USING (nation, flag)""",
 )
 def agg_status_four(t: Tables) -> DataFrame:
