@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sparkaudit.functions.text import all_matches
+from sparkaudit.functions.text import all_matches, let
 
 # Token formats.
 CITATION = r"\[(\d+(?:\s*[,–-]\s*\d+)*)\]"
-RANGE = r"^(\d+)\s*[–-]\s*(\d+)$"
+RANGE_OR_NUMBER = r"^\d+(?:\s*[–-]\s*\d+)?$"
 ITEM = r"S?\d+(?:\s*[–-]\s*S?\d+)?(?![\dS])"
 MENTION = rf"\b(?:Table|Figure)s\s+{ITEM}(?:(?:\s*,\s*(?:and\s+)?|\s+and\s+){ITEM})*|\b(?:Table|Figure)\s+{ITEM}"
 CAPTION = r"^(Table|Figure)\s+(S?)(\d+)\."
@@ -29,31 +29,32 @@ def expand_ranges(token: Column) -> Column:
     """``"9,10, 21–50"`` to an array of numbers; hyphen and en-dash; reversed ends are swapped."""
 
     def part(p: Column) -> Column:
-        a = F.regexp_extract(p, RANGE, 1).try_cast("bigint")
-        b = F.regexp_extract(p, RANGE, 2).try_cast("bigint")
-        one = p.try_cast("bigint")
-        return (
-            F.when(a.isNotNull() & b.isNotNull(), _span(a, b))
-            .when(p.rlike(r"^\d+$") & one.isNotNull(), F.array(one))
-            .otherwise(F.array().cast("array<bigint>"))
+        ends = F.transform(F.split(p, r"\s*[–-]\s*"), lambda d: d.try_cast("bigint"))
+        return F.when(p.rlike(RANGE_OR_NUMBER), let(ends, lambda e: _span(F.get(e, 0), F.element_at(e, -1)))).otherwise(
+            F.array().cast("array<bigint>")
         )
 
-    return F.flatten(F.transform(F.split(token, ","), lambda p: part(F.trim(p))))
+    # A number too long for 64 bits cannot be a reference number; it expands to nothing.
+    whole = F.flatten(F.transform(F.split(token, ","), lambda p: part(F.trim(p))))
+    return F.filter(whole, lambda n: n.isNotNull())
 
 
 def collapse_ranges(numbers: Column, dash: str = "–") -> Column:
     """Sorted distinct numbers as text, runs of consecutive numbers as ``a–b``."""
-    flat = F.array_sort(F.array_distinct(numbers))
-    starts = F.filter(flat, lambda x: ~F.array_contains(flat, x - 1))
-    ends = F.filter(flat, lambda x: ~F.array_contains(flat, x + 1))
-    runs = F.zip_with(
-        starts,
-        ends,
-        lambda a, b: F.when(a == b, a.cast("string")).otherwise(
-            F.concat(a.cast("string"), F.lit(dash), b.cast("string"))
-        ),
-    )
-    return F.array_join(runs, ",")
+
+    def runs(flat: Column) -> Column:
+        """Pair the first and last members of the runs, found by their neighbours in the sorted list."""
+        starts = F.filter(flat, lambda x, i: (i == 0) | (F.get(flat, i - 1) < x - 1))
+        ends = F.filter(flat, lambda x, i: F.coalesce(F.get(flat, i + 1) > x + 1, F.lit(True)))
+        return F.zip_with(
+            starts,
+            ends,
+            lambda a, b: F.when(a == b, a.cast("string")).otherwise(
+                F.concat(a.cast("string"), F.lit(dash), b.cast("string"))
+            ),
+        )
+
+    return F.array_join(let(F.array_sort(F.array_distinct(numbers)), runs), ",")
 
 
 def body_of(text: Column, heading: str = REFERENCE_HEADING) -> Column:
@@ -83,17 +84,27 @@ def reference_entries(text: Column) -> Column:
     )
 
 
-def _token_mentions(token: Column) -> Column:
-    kind = F.regexp_extract(token, r"^(Table|Figure)", 1)
-    supplementary = token.rlike(r"^\w+\s+S\d")
-    label = F.when(supplementary, F.concat(kind, F.lit(" S"))).otherwise(kind)
+def _token_class(token: Column) -> Column:
+    kind = F.substring_index(F.regexp_replace(token, r"s?\s.*$", ""), " ", 1)
+    return F.when(token.rlike(r"^\w+\s+S\d"), F.concat(kind, F.lit(" S"))).otherwise(kind)
 
-    def item(i: Column) -> Column:
-        ends = F.transform(all_matches(i, r"\d+"), lambda d: d.try_cast("bigint"))
-        first, last = F.element_at(ends, 1), F.element_at(ends, -1)
-        return F.transform(_span(first, last), lambda n: F.struct(label.alias("class"), n.alias("num")))
 
-    return F.flatten(F.transform(all_matches(token, ITEM), item))
+def _token_mentions(token: Column) -> Column:
+    def items(label: Column) -> Column:
+        return F.flatten(
+            F.transform(
+                all_matches(token, ITEM),
+                lambda i: let(
+                    F.transform(all_matches(i, r"\d+"), lambda d: d.try_cast("bigint")),
+                    lambda ends: F.transform(
+                        _span(F.element_at(ends, 1), F.element_at(ends, -1)),
+                        lambda n: F.struct(label.alias("class"), n.alias("num")),
+                    ),
+                ),
+            )
+        )
+
+    return let(_token_class(token), items)
 
 
 def mentions(text: Column) -> Column:
@@ -126,13 +137,17 @@ def of_class(pairs: Column, label: str) -> Column:
 
 def descents(order: Column) -> Column:
     """Neighbours of a sequence where the number falls, as ``a>b``."""
-    steps = F.transform(
-        order,
-        lambda x, i: F.when(
-            (i > 0) & (F.get(order, i - 1) > x), F.concat(F.get(order, i - 1).cast("string"), F.lit(">"), x.cast("string"))
-        ),
-    )
-    return F.filter(steps, lambda s: s.isNotNull())
+
+    def fall(seq: Column) -> Column:
+        return F.transform(
+            seq,
+            lambda x, i: F.when(
+                (i > 0) & (F.get(seq, i - 1) > x),
+                F.concat(F.get(seq, i - 1).cast("string"), F.lit(">"), x.cast("string")),
+            ),
+        )
+
+    return F.filter(let(order, fall), lambda s: s.isNotNull())
 
 
 def renumber_map(mentioned: Column, listed: Column | None = None) -> Column:
@@ -140,9 +155,8 @@ def renumber_map(mentioned: Column, listed: Column | None = None) -> Column:
     order = F.array_distinct(mentioned)
     if listed is not None:
         order = F.array_union(order, listed)
-    return F.when(
-        F.size(order) > 0, F.map_from_arrays(order, F.sequence(F.lit(1).cast("bigint"), F.size(order).cast("bigint")))
-    ).otherwise(F.map_from_arrays(F.array().cast("array<bigint>"), F.array().cast("array<bigint>")))
+    pairs = F.transform(order, lambda n, i: F.struct(n.alias("old"), (i + 1).cast("bigint").alias("new")))
+    return F.map_from_entries(pairs)
 
 
 def replace_tokens(text: Column, pattern: str, render) -> Column:
@@ -187,9 +201,7 @@ def renumber_mentions(text: Column, mapping: Column, label: str, old_max: Column
         )
 
     def token(t: Column) -> Column:
-        kind = F.regexp_extract(t, r"^(Table|Figure)", 1)
-        here = F.when(t.rlike(r"^\w+\s+S\d"), F.concat(kind, F.lit(" S"))).otherwise(kind)
-        return F.when(here == label, replace_tokens(t, ITEM, item)).otherwise(t)
+        return F.when(_token_class(t) == label, replace_tokens(t, ITEM, item)).otherwise(t)
 
     return replace_tokens(text, MENTION, token)
 
@@ -208,14 +220,18 @@ def _token_keys(token: Column) -> Column:
 
 def number_keys(text: Column, known: Column | None = None) -> Column:
     """Symbolic tokens to numbers by first appearance; blocks become ranges; unknown keys vanish."""
-    order = symbolic_keys(text)
-    if known is not None:
-        order = F.array_intersect(order, known)
 
-    def render(token: Column) -> Column:
-        nums = F.filter(
-            F.transform(_token_keys(token), lambda k: F.array_position(order, k).cast("bigint")), lambda n: n > 0
-        )
-        return F.when(F.size(nums) > 0, F.concat(F.lit("["), collapse_ranges(nums), F.lit("]"))).otherwise(F.lit(""))
+    def rewrite(order: Column) -> Column:
+        def render(token: Column) -> Column:
+            nums = F.filter(
+                F.transform(_token_keys(token), lambda k: F.array_position(order, k).cast("bigint")), lambda n: n > 0
+            )
+            return let(
+                nums,
+                lambda v: F.when(F.size(v) > 0, F.concat(F.lit("["), collapse_ranges(v), F.lit("]"))).otherwise(F.lit("")),
+            )
 
-    return replace_tokens(text, SYMBOLIC_KEY, render)
+        return replace_tokens(text, SYMBOLIC_KEY, render)
+
+    order = symbolic_keys(text)
+    return let(F.array_intersect(order, known) if known is not None else order, rewrite)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 import pandas as pd
@@ -15,7 +16,7 @@ from sparkaudit.operators.ordered import average_ranks, null_safe_join
 
 
 def _normal_sentences(docs: DataFrame, doc_id: str, text: str, min_len: int) -> DataFrame:
-    parts = F.transform(X.sentences(X.flatten_ws(F.regexp_replace(text, r"[|#*]", " ")), ".;:"), lambda s: F.trim(s))
+    parts = F.transform(X.sentences(X.flatten_ws(F.translate(text, "|#*", "   ")), ".;:"), lambda s: F.trim(s))
     return docs.select(
         F.col(doc_id).alias("doc_id"), F.explode(F.filter(parts, lambda s: F.length(s) > min_len)).alias("sentence")
     ).withColumn("_n", F.lower("sentence"))
@@ -200,10 +201,13 @@ def affine_equivalent(df: DataFrame, a: str, b: str, keys: Sequence[str] = (), t
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """Order-free digest of a result: rows, and a sum of row hashes (doubles at ten significant digits)."""
+    """Order-free digest of a result: rows, and a sum of row hashes (doubles at ten significant digits).
+
+    Doubles are scaled by pi before they are cut, so that round values do not sit on a rounding edge.
+    """
     cols: list[Column] = []
     for name, kind in df.dtypes:
-        cols.append(F.format_string("%.9e", name) if kind in ("double", "float") else F.col(name))
+        cols.append(F.format_string("%.9e", F.col(name) * math.pi) if kind in ("double", "float") else F.col(name))
     h = F.xxhash64(*cols).cast("decimal(38,0)")
     return df.select(h.alias("_h")).agg(F.count("*").alias("n"), F.coalesce(F.sum("_h"), F.lit(0)).alias("digest"))
 

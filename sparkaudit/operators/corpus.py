@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkaudit.functions import citations as C
 from sparkaudit.functions import text as X
+from sparkaudit.session import evaluate_once
 
 FINDING_COLUMNS = ("doc_id", "check", "status", "severity", "n", "detail", "evidence")
 
@@ -87,7 +88,7 @@ def counts_to_findings(counts: DataFrame, checks: Sequence[Check] = HYGIENE) ->
             for c in checks
         ]
     )
-    return counts.select("doc_id", F.inline(rows))
+    return evaluate_once(counts, **{c.name: F.col(c.name) for c in checks}).select("doc_id", F.inline(rows))
 
 
 def run_checks(docs: DataFrame, checks: Sequence[Check], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -170,9 +171,9 @@ def pattern_hits(
     docs: DataFrame, pattern: str, doc_id: str = "doc_id", text: str = "text", keep: Sequence[str] = ()
 ) -> DataFrame:
     """Documents with at least one match: how many, and the distinct matches."""
-    found = X.all_matches(F.col(text), pattern)
+    base = docs.select(F.col(doc_id).alias("doc_id"), *keep, F.col(text).alias("_text"))
     return (
-        docs.select(F.col(doc_id).alias("doc_id"), *keep, found.alias("_found"))
+        evaluate_once(base, _found=X.all_matches(F.col("_text"), pattern))
         .where(F.size("_found") > 0)
         .select(
             "doc_id", *keep, F.size("_found").cast("bigint").alias("n"),
@@ -186,7 +187,7 @@ def check_limits(
     doc_id: str = "doc_id",
 ) -> DataFrame:
     """Words and characters of a section, FAIL when over a limit, NOT_RUN when the section is missing."""
-    sized = docs.select(F.col(doc_id).alias("doc_id"), section.alias("_s")).select(
+    sized = evaluate_once(docs.withColumn("doc_id", F.col(doc_id)), _s=section).select(
         "doc_id", X.word_count(F.col("_s")).alias("words"), F.length("_s").cast("bigint").alias("chars")
     )
     over = F.lit(False)
@@ -241,12 +242,11 @@ def cell_audit(df: DataFrame, columns: Sequence[str], keys: Sequence[str], max_c
 
 def citation_audit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Listed, cited, dangling, uncited, duplicate numbers and order descents, all inside the row."""
-    t = F.col(text)
-    parsed = docs.select(
-        F.col(doc_id).alias("doc_id"),
-        F.transform(C.reference_entries(t), lambda r: r["ref_no"]).alias("listed"),
-        C.citation_numbers(t).alias("cited"),
-    ).withColumn("order", F.array_distinct("cited"))
+    parsed = evaluate_once(
+        docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")),
+        listed=F.transform(C.reference_entries(F.col("_text")), lambda r: r["ref_no"]),
+        order=F.array_distinct(C.citation_numbers(F.col("_text"))),
+    )
     return parsed.select(
         "doc_id",
         "listed",
@@ -276,9 +276,7 @@ def orphan_mentions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """Mentioned numbers without a caption of their class."""
     t = F.col(text)
     pair = docs.select(
-        F.col(doc_id).alias("doc_id"),
-        F.array_distinct(C.mentions(t)).alias("m"),
-        F.array_distinct(C.captions(t)).alias("c"),
+        F.col(doc_id).alias("doc_id"), F.array_distinct(C.mentions(t)).alias("m"), F.array_distinct(C.captions(t)).alias("c")
     )
     return pair.select("doc_id", F.inline(F.array_except("m", "c")))
 
@@ -286,8 +284,9 @@ def orphan_mentions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def out_of_range(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Mentions outside 1..highest caption number of their class (range ends included)."""
     t = F.col(text)
-    pair = docs.select(
-        F.col(doc_id).alias("doc_id"), F.array_distinct(C.mentions(t)).alias("m"), C.captions(t).alias("c")
+    pair = evaluate_once(
+        docs.select(F.col(doc_id).alias("doc_id"), t.alias("_text")),
+        m=F.array_distinct(C.mentions(F.col("_text"))), c=C.captions(F.col("_text")),
     )
     top = lambda label: F.coalesce(F.array_max(C.of_class(F.col("c"), label)), F.lit(0))
     bad = F.filter("m", lambda m: (m["num"] < 1) | (m["num"] > top(m["class"])))
@@ -322,7 +321,8 @@ def section_order(docs: DataFrame, first: str, second: str, doc_id: str = "doc_i
 # --- abbreviations --------------------------------------------------------------------------
 
 # What counts as an abbreviation.
-ABBREVIATION_TOKEN = r"(?<![A-Za-z0-9\-])[A-Za-z][A-Za-z0-9\-]{1,14}(?![A-Za-z0-9])"
+# (the lookahead only skips tokens that cannot have one of the shapes)
+ABBREVIATION_TOKEN = r"(?<![A-Za-z0-9\-])(?=[A-Za-z0-9\-]*(?:[A-Z]{2}|-))[A-Za-z][A-Za-z0-9\-]{1,14}(?![A-Za-z0-9])"
 ABBREVIATION_SHAPE = r"[A-Z]{2,}|^[A-Za-z]+-\d|^[A-Z][a-z]+-[A-Z]"
 NOT_ABBREVIATION = r"^(?:[IVX]+|[A-Z]{2,}\d+)$"
 LATIN_WORDS = ("al", "eg", "et", "etc", "ie", "vs")

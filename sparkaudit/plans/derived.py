@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkaudit.plans.registry import Tables
+from sparkaudit.session import evaluate_once, spread
 
 
 def manuscripts(t: Tables) -> DataFrame:
     """(doc_id, a, b, c, text), one per order."""
-    keys = t.orders.select(
+    keys = spread(t.orders.select("o_orderkey", "o_custkey")).select(
         F.col("o_orderkey").alias("doc_id"),
         F.col("o_custkey").alias("cust"),
         (F.col("o_orderkey") % 7 + 1).alias("a"),
@@ -63,7 +64,7 @@ def manuscripts(t: Tables) -> DataFrame:
         F.lit("## References"),
         F.array_join(references, "\n"),
     )
-    return keys.select("doc_id", "a", "b", "c", text.alias("text"))
+    return evaluate_once(keys, text=text).select("doc_id", "a", "b", "c", "text")
 
 
 MANUSCRIPTS_SQL = r"""

@@ -8,14 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkaudit.session import spread
+
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
 
 
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
 class Tables:
-    """The given Parquet tables as attributes."""
+    """The given Parquet tables as attributes. Text work is heavy per row, so text tables use all cores."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
@@ -24,7 +29,8 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(table) if name in TEXT_TABLES else table
 
 
 def _plain_types(df: DataFrame) -> DataFrame:

@@ -207,14 +207,11 @@ def join_exactly_one(t: Tables) -> DataFrame:
     "join_title_gate",
 )
 def join_title_gate(t: Tables) -> DataFrame:
-    """Benchmark items with their first words swapped and one letter lost, looked up among all documents and items."""
-    b = t.benchmark
-    cand = b.select(F.col("item_id").alias("key"), F.col("text").alias("title")).unionByName(
-        t.documents.select((F.col("doc_id") + 1000000).alias("key"), F.substring_index("text", "\n", 1).alias("title"))
-    )
-    target = t.documents.select(
-        F.col("doc_id").alias("key"), F.regexp_replace(F.substring_index("text", "\n", 1), r"^(.{6})(.)", "$1").alias("title")
-    )
+    """Benchmark first sentences that lost one letter, looked up among those of all documents and items."""
+    first = F.substring_index("text", ".", 1)
+    items = t.benchmark.select(F.col("item_id").alias("key"), first.alias("title"))
+    cand = items.unionByName(t.documents.select((F.col("doc_id") + 1000000000).alias("key"), first.alias("title")))
+    target = items.withColumn("title", F.regexp_replace("title", r"^(.{6})(.)", "$1"))
     out = D.match_titles(cand, target)
     return out.select("key", "cand_key", F.round("ratio", 4).alias("ratio"), "status")
 

@@ -10,7 +10,7 @@ from sparkaudit.functions import text as X
 from sparkaudit.operators import corpus as O
 from sparkaudit.plans.derived import MANUSCRIPTS_SQL, manuscripts
 from sparkaudit.plans.registry import Tables, query
-from sparkaudit.session import shared_dir
+from sparkaudit.session import evaluate_once, shared_dir
 from sparkaudit.sources import corpus as S
 from sparkaudit.sources import sinks
 
@@ -399,7 +399,7 @@ def join_out_of_range(t: Tables) -> DataFrame:
 )
 def win_first_mention(t: Tables) -> DataFrame:
     labels = F.array(*[F.lit(x) for x in ("Table", "Table S", "Figure", "Figure S")])
-    m = manuscripts(t).select("doc_id", C.mentions(F.col("text")).alias("m"))
+    m = evaluate_once(manuscripts(t), m=C.mentions(F.col("text"))).select("doc_id", "m")
     per_class = m.select("doc_id", "m", F.explode(labels).alias("class"))
     order = F.array_distinct(F.transform(F.filter("m", lambda x: x["class"] == F.col("class")), lambda x: x["num"]))
     return per_class.select("doc_id", "class", F.posexplode(order).alias("p", "num")).select(
@@ -415,7 +415,7 @@ def win_first_mention(t: Tables) -> DataFrame:
        WHERE before > num GROUP BY doc_id""",
 )
 def win_order_violations(t: Tables) -> DataFrame:
-    audit = O.citation_audit(manuscripts(t)).select("doc_id", "descents").where(F.size("descents") > 0)
+    audit = evaluate_once(O.citation_audit(manuscripts(t)), descents=F.col("descents")).where(F.size("descents") > 0)
     return audit.select("doc_id", F.size("descents").alias("n"), joined(F.slice("descents", 1, 10)).alias("first_bad"))
 
 
@@ -444,7 +444,7 @@ def win_renumber_map(t: Tables) -> DataFrame:
        FROM ms JOIN x USING (doc_id)""",
 )
 def fn_apply_renumber(t: Tables) -> DataFrame:
-    m = manuscripts(t).withColumn("_map", C.renumber_map(C.citation_numbers(F.col("text"))))
+    m = evaluate_once(manuscripts(t), _map=C.renumber_map(C.citation_numbers(F.col("text"))))
     return m.select("doc_id", C.renumber_citations(F.col("text"), F.col("_map")).alias("text"))
 
 
@@ -488,7 +488,8 @@ def join_legend_numbers(t: Tables) -> DataFrame:
     m = manuscripts(t)
     legend = F.regexp_extract("text", r"(?s)\nFigure 1\. (.*?)\n## References", 1)
     stated = F.replace(F.get(F.split("text", "\n"), 2), F.lit(","), F.lit(""))
-    missing = F.filter(X.numbers(legend), lambda x: ~F.contains(stated, x) & ~x.isin("300"))
+    m = evaluate_once(m, legend=legend, stated=stated)
+    missing = F.filter(X.numbers(F.col("legend")), lambda x: ~F.contains(F.col("stated"), x) & ~x.isin("300"))
     return m.select("doc_id", F.explode(missing).alias("num"))
 
 
@@ -562,7 +563,7 @@ REDACTION = ([("MIT License", "[LICENCE]"), ("token", "[KEY]")], [(X.EMAIL, "[MA
         SELECT doc_id, clean, text <> clean AS changed, 0::BIGINT AS residue FROM r""",
 )
 def fn_redact(t: Tables) -> DataFrame:
-    r = t.documents.select("doc_id", "text", X.redact(F.col("text"), *REDACTION).alias("clean"))
+    r = evaluate_once(t.documents.select("doc_id", "text"), clean=X.redact(F.col("text"), *REDACTION))
     return r.select(
         "doc_id", "clean", (F.col("text") != F.col("clean")).alias("changed"),
         F.size(X.residue(F.col("clean"), *REDACTION)).alias("residue"),

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "sparkaudit", master: str | None = None, **conf: str) -> SparkSession:
@@ -43,6 +44,26 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores when the input has fewer splits than cores (one small file, say).
+
+    Only the physical plan is looked at. A large input has many splits and stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
+
+
+def evaluate_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add costly columns that several later expressions read.
+
+    The optimizer merges neighbouring projections and would repeat the expression at every use; it
+    does not merge across a generator.
+    """
+    packed = F.struct(*[c.alias(name) for name, c in columns.items()])
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(packed)))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write once to the shared folder and read back, so lost executors never repeat the work."""
     path = shared_dir(df.sparkSession)
