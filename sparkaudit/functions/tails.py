@@ -36,8 +36,16 @@ def _fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     return h
 
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
-_erfc = np.vectorize(math.erfc, otypes=[float])
+def _each(f, x: np.ndarray) -> np.ndarray:
+    return np.array([f(v) for v in np.ravel(x)], dtype=float).reshape(np.shape(x))
+
+
+def _lgamma(x: np.ndarray) -> np.ndarray:
+    return _each(math.lgamma, x)
+
+
+def _erfc(x: np.ndarray) -> np.ndarray:
+    return _each(math.erfc, x)
 
 
 def beta_cdf(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:

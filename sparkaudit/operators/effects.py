@@ -49,9 +49,8 @@ def smd_paired(pairs: DataFrame, keys: Sequence[str], default_r: float = 0.2, fi
         F.count("*").alias("n"), F.avg(a).alias("m1"), F.stddev_samp(a).alias("s1"), F.avg(b).alias("m0"),
         F.stddev_samp(b).alias("s0"), F.stddev_samp(a - b).alias("sd_diff"), S.safe_corr(a, b).alias("raw_r"),
     )
-    r = F.lit(fixed_r) if fixed_r is not None else F.coalesce(
-        F.greatest(F.lit(-0.99), F.least(F.lit(0.99), F.col("raw_r"))), F.lit(default_r)
-    )
+    clipped = F.greatest(F.lit(-0.99), F.least(F.lit(0.99), F.col("raw_r")))
+    r = F.lit(fixed_r) if fixed_r is not None else F.when(F.col("raw_r").isNotNull(), clipped).otherwise(F.lit(default_r))
     m = m.withColumn("r", r)
     y, v = S.smd_paired(F.col("m1"), F.col("s1"), F.col("m0"), F.col("s0"), F.col("n"), F.col("r"))
     dz = F.try_divide(F.col("m1") - F.col("m0"), F.col("sd_diff"))
