@@ -11,6 +11,7 @@ from sparkaudit.functions import stats as S
 from sparkaudit.functions.draws import normal
 from sparkaudit.functions.tails import p_from_t, p_from_z, t975
 from sparkaudit.operators.ordered import prefix_sums, suffix_min
+from sparkaudit.session import evaluate_once
 
 # Groups up to this many estimates are pooled inside one row; larger ones by distributed passes.
 IN_ROW_LIMIT = 10000
@@ -304,11 +305,13 @@ def mc_variance(reps: DataFrame, rep: str, grid: Sequence[tuple[int, int, float]
     def arm(n: Column, tag: str, shift: Column) -> Column:
         return F.transform(F.sequence(F.lit(1), n), lambda i: normal(seed, F.col("cell"), F.col("rep"), F.lit(tag), i) + shift)
 
-    drawn = g.withColumn("_a", arm(F.col("n1"), "a", F.col("delta"))).withColumn("_b", arm(F.col("n0"), "b", F.lit(0.0)))
+    drawn = evaluate_once(g, _a=arm(F.col("n1"), "a", F.col("delta")), _b=arm(F.col("n0"), "b", F.lit(0.0)))
     mean = lambda c, n: F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x) / n
-    drawn = drawn.withColumn("m1", mean(F.col("_a"), F.col("n1"))).withColumn("m0", mean(F.col("_b"), F.col("n0")))
+    drawn = evaluate_once(drawn, m1=mean(F.col("_a"), F.col("n1")), m0=mean(F.col("_b"), F.col("n0")))
     sd = lambda c, m, n: F.sqrt(F.aggregate(c, F.lit(0.0), lambda acc, x: acc + (x - m) * (x - m)) / (n - 1))
-    drawn = drawn.withColumn("s1", sd(F.col("_a"), F.col("m1"), F.col("n1"))).withColumn("s0", sd(F.col("_b"), F.col("m0"), F.col("n0")))
+    drawn = evaluate_once(
+        drawn, s1=sd(F.col("_a"), F.col("m1"), F.col("n1")), s0=sd(F.col("_b"), F.col("m0"), F.col("n0"))
+    )
     y, v = S.smd_rms(*[F.col(c) for c in ("m1", "s1", "n1", "m0", "s0", "n0")])
     e = drawn.select("cell", "n1", "n0", "delta", y.alias("y"), v.alias("v"))
     covered = F.abs(F.col("y") - F.col("delta")) <= S.Z95 * F.sqrt("v")

@@ -16,7 +16,7 @@ from sparkaudit.operators import resample as B
 from sparkaudit.operators import survey as V
 from sparkaudit.operators import validate as P
 from sparkaudit.plans.registry import Tables, query
-from sparkaudit.session import shared_dir
+from sparkaudit.session import shared_dir, spread
 from sparkaudit.streaming.audit import audit_stream, start_audit
 
 
@@ -316,8 +316,8 @@ GRID = [(8, 8, 0.0), (12, 12, 0.3), (20, 20, 0.8), (30, 15, 0.3)]
 
 @query("st_mc_variance")
 def st_mc_variance(t: Tables) -> DataFrame:
-    """One replicate per order; the ratio nears 1 and the coverage 0.95 as the table grows."""
-    return rounded(E.mc_variance(t.orders, "o_orderkey", GRID), 4)
+    """One replicate per customer; the ratio nears 1 and the coverage 0.95 as the table grows."""
+    return rounded(E.mc_variance(spread(t.customer.select("c_custkey")), "c_custkey", GRID), 4)
 
 
 @_ef(
