@@ -45,12 +45,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores when the input has fewer splits than cores (one small file, say).
+    """Use all cores when a small input has fewer splits than there are cores.
 
-    Only the physical plan is looked at. A large input has many splits and stays as it is.
+    Only the physical plan is looked at. An input of 64 splits or more is never moved.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, 64) else df
 
 
 def evaluate_once(df: DataFrame, **columns: Column) -> DataFrame:
