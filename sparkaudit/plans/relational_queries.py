@@ -18,12 +18,12 @@ from sparkaudit.plans.registry import Tables, query
 from sparkaudit.sources.sinks import verify_manifest
 
 # Positions inside an order: the line number first, then the part, so that no two places are equal.
-PLACE = F.col("l_linenumber").cast("bigint") * 1000000000 + F.col("l_partkey")
 PLACE_SQL = "(l_linenumber::BIGINT * 1000000000 + l_partkey)"
 
 
 def lines(t: Tables) -> DataFrame:
-    return t.lineitem.select("l_orderkey", "l_partkey", PLACE.alias("place"))
+    place = F.col("l_linenumber").cast("bigint") * 1000000000 + F.col("l_partkey")
+    return t.lineitem.select("l_orderkey", "l_partkey", place.alias("place"))
 
 
 # --- rules ----------------------------------------------------------------------------------
@@ -396,14 +396,6 @@ def agg_agreement(t: Tables) -> DataFrame:
     return a.select("n", *[F.round(c, 6).alias(c) for c in ("raw", "kappa", "ac1")])
 
 
-CASCADE = {
-    "open": F.col("o_orderstatus") != "P",
-    "priced": F.col("o_totalprice") > 50000,
-    "not_low": F.col("o_orderpriority") != "5-LOW",
-    "late": F.col("o_orderdate") >= F.lit("1996-01-01").cast("timestamp_ntz"),
-}
-
-
 @query(
     "agg_exclusion_cascade",
     """WITH f AS (SELECT o_orderstatus <> 'P' AS f1, o_totalprice > 50000 AS f2, o_orderpriority <> '5-LOW' AS f3,
@@ -416,7 +408,13 @@ CASCADE = {
        UNION ALL SELECT 3, 'not_low', n3, n2 - n3, d3 FROM c UNION ALL SELECT 4, 'late', n4, n3 - n4, d4 FROM c""",
 )
 def agg_exclusion_cascade(t: Tables) -> DataFrame:
-    return N.exclusion_cascade(t.orders, CASCADE)
+    filters = {
+        "open": F.col("o_orderstatus") != "P",
+        "priced": F.col("o_totalprice") > 50000,
+        "not_low": F.col("o_orderpriority") != "5-LOW",
+        "late": F.col("o_orderdate") >= F.lit("1996-01-01").cast("timestamp_ntz"),
+    }
+    return N.exclusion_cascade(t.orders, filters)
 
 
 @query(

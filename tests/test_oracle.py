@@ -1,5 +1,7 @@
 """Registered queries against SQL on the smallest given tables. ``tests/compare.py`` runs all of them."""
 
+import subprocess
+import sys
 from pathlib import Path
 
 import pytest
@@ -28,4 +30,8 @@ def test_same_result(spark, con, name):
 
 
 def test_contract():
+    """The lists are asked for before a session exists, too."""
+    code = "import __spark_entry__ as e; assert len(e.oracle_sql()) > 100 and set(e.oracle_sql()) <= set(e.queries())"
+    root = Path(__file__).resolve().parent.parent
+    assert subprocess.run([sys.executable, "-c", code], cwd=root, timeout=120).returncode == 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
