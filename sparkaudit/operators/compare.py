@@ -192,7 +192,9 @@ def affine_equivalent(df: DataFrame, a: str, b: str, keys: Sequence[str] = (), t
     if keys:
         joined = null_safe_join(df, line, keys)
     else:
-        joined = df.withColumn("_one", F.lit(1)).join(line.withColumn("_one", F.lit(1)), "_one").drop("_one")
+        # One row for the whole table: a scalar subquery, so the data rows are not shuffled.
+        one = line.select(F.struct("slope", "intercept")).scalar()
+        joined = df.withColumn("_line", one).select(*df.columns, "_line.slope", "_line.intercept")
     resid = F.abs(F.col(b) - (F.col("slope") * F.col(a) + F.col("intercept")))
     out = joined.groupBy(*keys).agg(
         F.first("slope").alias("slope"), F.first("intercept").alias("intercept"), F.max(resid).alias("max_residual")

@@ -52,7 +52,7 @@ def svy_mean(df: DataFrame, y: Column, strata: str, psu: str, weight: str, keys:
     if keys:
         j = null_safe_join(t, whole, keys)
     else:
-        j = t.withColumn("_one", F.lit(1)).join(whole.withColumn("_one", F.lit(1)), "_one")
+        j = t.withColumn("_h", whole.select(F.struct("mean", "_w")).scalar()).select(*t.columns, "_h.mean", "_h._w")
     z = j.withColumn("z", (F.col("swy") - F.col("mean") * F.col("sw")) / F.col("_w"))
     var = strata_variance(z, keys, strata, "z")
     means = whole.select(*keys, "mean")

@@ -210,3 +210,9 @@ def test_id_join_guard(spark):
     with pytest.raises(ValueError):
         J.id_join(a, b, "k")
     assert J.id_join(b, a, "k").count() == 50
+
+
+def test_affine_without_keys(spark):
+    df = spark.range(50).select(F.col("id").cast("double").alias("a"), (F.col("id") * 2.5 + 1).cast("double").alias("b"))
+    r = D.affine_equivalent(df, "a", "b").first()
+    assert r["equivalent"] and r["slope"] == pytest.approx(2.5) and r["intercept"] == pytest.approx(1.0)
