@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkaudit.llm import exact_dedup, simhash
+from sparkaudit.llm import bpe, exact_dedup, mixing, quality, simhash
 from sparkaudit.session import cut_lineage
 
 
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the quality classifier rejects."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet"))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each text."""
     return exact_dedup.deduplicate(docs)
@@ -18,7 +24,18 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.one_of_each(docs)
 
 
-STAGES = [("exact dedup", exact), ("SimHash near-dedup", near)]
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times as the mix of sources takes it."""
+    return mixing.mixed(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their token ids and what these decode to, checked to be the text."""
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return bpe.tokenised(docs, ranks, public_tokenizers.PATTERN)
+
+
+STAGES = [("quality classifier", good), ("exact dedup", exact), ("SimHash near-dedup", near), ("mixing", mix), ("byte-level BPE", tokens)]
 
 #: The quality classifier's model and fingerprints' links have no SQL form; tests hold the stages to plain versions.
 ORACLE_SQL = None

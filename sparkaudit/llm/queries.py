@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkaudit.llm import exact_dedup, simhash
+from sparkaudit.llm import bpe, exact_dedup, mixing, quality, simhash
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +24,23 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/documents.parquet")
 
 
+@query("op1_quality_classifier")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    labels = spark.read.parquet(f"{folder.rstrip('/')}/labels.parquet")
+    return quality.classify(documents(spark, folder), labels)
+
+
+@query("op4_byte_bpe")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return bpe.round_trip(documents(spark, folder), ranks, public_tokenizers.PATTERN)
+
+
+query("op5_mixing", mixing.SQL)(lambda spark, folder: mixing.mix(documents(spark, folder)))
+
+
 @query(
     "op9_exact_dedup",
     """
