@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkaudit.llm import bpe, exact_dedup, mixing, quality, simhash
+from sparkaudit.llm import bpe, exact_dedup, mixing, quality, rules, simhash, suffix_dedup
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -57,3 +57,16 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_simhash")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, folder))
+
+
+@query("op7_suffix_dedup")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.summary(documents(spark, folder))
+
+
+@query("op3_quality_rules")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    labels = spark.read.parquet(f"{folder.rstrip('/')}/labels.parquet")
+    stats = rules.statistics(documents(spark, folder))
+    judged = rules.judge(stats, labels)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
