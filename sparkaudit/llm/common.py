@@ -61,6 +61,13 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(31))
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Write a finished step to the shared folder and let go of the shuffle files that it came from."""
+    out = cut_lineage(df)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 class Rolling:
     """Hash of any slice of a sequence of whole numbers in constant time, from one prefix sum."""
 
@@ -78,6 +85,12 @@ class Rolling:
             length = (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
             return mix((self.prefix[ends] - self.prefix[starts]) * self.down[starts] + length)
 
+    def each(self, width: int) -> np.ndarray:
+        """The hash of every slice of ``width`` values, in order; the same hashes as ``slices`` gives."""
+        with np.errstate(over="ignore"):
+            n = len(self.prefix) - width
+            return mix((self.prefix[width:] - self.prefix[:n]) * self.down[:n] + np.uint64(width) * np.uint64(0xD6E8FEB86659FD93))
+
 
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(WORD_SPACE)] = True

@@ -38,7 +38,7 @@ def sizes(docs: DataFrame) -> DataFrame:
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """(source, source_size, target). Sharing anew until no target is above its limit is filling all sources to one level
-    per weight: sources in order of limit per weight, the first that the level does not reach fixes it."""
+    per weight: sources in order of limit per weight, the first whose own level stays under its limit fixes it (later levels are lower)."""
     by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     everything = Window.orderBy(F.asc_nulls_last("source"))  # one row for each source
     ranked = by_source.withColumn("nth", F.row_number().over(everything)).withColumn(
@@ -51,8 +51,8 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     whole = Window.partitionBy(F.lit(1))
     level = (F.sum("source_size").over(whole) - F.coalesce(F.sum(limit).over(before), F.lit(0))) / F.sum("weight").over(rest)
     filled = ranked.withColumn("level", level).withColumn("fixes", F.when(F.col("level") <= limit / F.col("weight"), F.col("level")))
-    lowest = F.min("fixes").over(whole)
-    return filled.select("source", "source_size", F.least(limit.cast("double"), F.coalesce(lowest, F.lit(0.0)) * F.col("weight")).alias("target"))
+    filled_to = F.max("fixes").over(whole)
+    return filled.select("source", "source_size", F.least(limit.cast("double"), F.coalesce(filled_to, F.lit(0.0)) * F.col("weight")).alias("target"))
 
 
 def copies(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, odds: Column | None = None) -> DataFrame:
@@ -128,7 +128,7 @@ l AS (
   SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (ORDER BY 3 * source_size / weight, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
     / (sum(weight) OVER (ORDER BY 3 * source_size / weight, nth ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level FROM w),
 t AS (
-  SELECT source, source_size, least((3 * source_size)::DOUBLE, coalesce(min(CASE WHEN level <= 3 * source_size / weight THEN level END) OVER (), 0) * weight) AS target FROM l),
+  SELECT source, source_size, least((3 * source_size)::DOUBLE, coalesce(max(CASE WHEN level <= 3 * source_size / weight THEN level END) OVER (), 0) * weight) AS target FROM l),
 r AS (
   SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate FROM t),
 c AS (SELECT *, floor(rate) AS certain, rate - floor(rate) AS p, target - floor(rate) * source_size AS lacking FROM r),

@@ -7,10 +7,13 @@ to send, but the ``DIGIT`` bytes of smallest hash within its 200, which neighbou
 this digit at the same place, so the sort stays exact, and a stretch of suffixes with one digit is one row.
 
 1. First digit: one row for each stretch (about one in 70 suffixes) with the digit and the stretch's whole content as
-   hashes. Digits that occur once drop out.
-2. Whole stretches: those of equal content are equal groups at full depth, for all their suffixes at once.
-3. Last digits: where a digit has stretches of different content, the suffixes of one stretch of each such content are
-   compared at full depth, as 128-bit hashes of their 200 bytes.
+   hashes. Digits that occur once drop out. Stretches of equal content are equal groups at full depth, for all their
+   suffixes at once; a digit whose stretches differ in content goes on, with one stretch of each content.
+2. Second digit: stretches are cut into blocks of 16 suffixes, the digit being all bytes that the suffixes of a block have
+   in common. Again single ones drop out, equal blocks are done, and different ones go on.
+3. Last digit: single suffixes with all their bytes.
+
+Contents count as equal when two independent 64-bit hashes of them are.
 
 Groups are counted before anything is sent back, with partial counts where the rows are, and the way back to the rows is
 a join that adaptive execution can split or that is dealt by salts, so a passage in a third of all documents stays even.
@@ -29,13 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkaudit.llm.common import BASE_2, Rolling, joined, mix, runs, salt, same_keys, texts_of, with_group_value
-from sparkaudit.session import cut_lineage
+from sparkaudit.llm.common import BASE_2, Rolling, joined, mix, runs, salt, same_keys, settle, texts_of, with_group_value
 
 LENGTH = 200
 DIGIT = 64
 #: Suffixes of one text that are handled at once; longer texts are cut with an overlap.
 PIECE = 1 << 19
+#: Bytes that are hashed at once, about.
+RUN = 1 << 18
+#: Suffixes in a block of the second and the last pass.
+WIDTHS = (16, 1)
 
 
 def pieces(texts: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
@@ -55,55 +61,80 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(onward[:n], upto[width - 1 : width - 1 + n])
 
 
-def stretches(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each text, again and again: first and last suffix of stretches that share their digit, digit and content as hashes."""
+def _spread(content: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """Hashes that also tell where in its digit's neighbourhood a range lies."""
+    with np.errstate(over="ignore"):
+        return mix(content + shift.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
+
+
+def stretches(texts: list[bytes]) -> Iterator[dict[str, np.ndarray]]:
+    """Stretches of suffixes that share their digit: the text, the place of the digit, first and last suffix, both hashes."""
     cut = list(pieces(texts))
-    for i, j in runs([len(p[2]) for p in cut]):
+    for i, j in runs([len(p[2]) for p in cut], RUN):
         data, ends = joined([p[2] for p in cut[i:j]])
-        roll = Rolling(data)
-        at = np.arange(len(data) - DIGIT + 1)
-        digits = roll.slices(at, at + DIGIT)
+        roll, second = Rolling(data), Rolling(data, BASE_2)
+        digits = roll.each(DIGIT)
         # the upper bits of the hash, then the place: of equal digits the first counts
-        least = sliding_least((digits >> np.uint64(22) << np.uint64(22)) | at.astype(np.uint64), LENGTH - DIGIT + 1)
-        place = (least & np.uint64((1 << 22) - 1)).astype(np.int64)
-        second = Rolling(data, BASE_2)
-        for k in range(i, j):
-            of, offset, text = cut[k]
-            low = int(ends[k - i]) - len(text)
-            mine = place[low : low + len(text) - LENGTH + 1]
-            begin = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
-            first, last = low + begin, low + np.append(begin[1:], len(mine)) - 1
-            with np.errstate(over="ignore"):
-                content = mix(second.slices(first, last + LENGTH) + (mine[begin] - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-            yield of, first - low + offset, last - low + offset, digits[mine[begin]].view(np.int64), content.view(np.int64)
-
-
-def _stretch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = sliding_least((digits >> np.uint64(22) << np.uint64(22)) | np.arange(len(digits), dtype=np.uint64), LENGTH - DIGIT + 1)
+        place = (least & np.uint64((1 << 22) - 1)).astype(np.int32)
+        lows = np.concatenate([[0], ends[:-1]])
+        new = np.empty(len(place), bool)
+        new[0], new[1:] = True, place[1:] != place[:-1]
+        new[lows] = True
+        past = ends - LENGTH + 1  # the suffixes from here to the next text are too short
+        new[past[past < len(new)]] = True
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(place)) - 1
+        of = np.searchsorted(ends, first, side="right")
+        whole = first < past[of]
+        first, last, of = first[whole], last[whole], of[whole]
+        at = place[first].astype(np.int64)
+        text, offset = (np.array([p[k] for p in cut[i:j]])[of] for k in (0, 1))
+        shift = offset - lows[of]
+        content = _spread(second.slices(first, last + LENGTH), at - first)
+        yield {"text": text, "place": at + shift, "first": first + shift, "last": last + shift, "digit": digits[at].view(np.int64), "content": content}
+
+
+def blocks(texts: list[bytes], spans: list[list[dict]], width: int) -> Iterator[dict[str, np.ndarray]]:
+    """Listed stretches cut into blocks of ``width`` suffixes on a grid that starts at the digit's place."""
+    listed = [(i, s["place"], s["first"], s["last"], s["open"]) for i, of in enumerate(spans) for s in of]
+    for i, j in runs([last - first + LENGTH for _, _, first, last, _ in listed], RUN):
+        text, place, first, last, open_ = (np.array(v) for v in zip(*listed[i:j], strict=True))
+        data, ends = joined([texts[t][a : b + LENGTH] for t, _, a, b, _ in listed[i:j]])
+        shift = ends - (last - first + LENGTH) - first  # from offsets of the text to offsets here
+        low, high = (place - last) // width, (place - first) // width
+        of = np.repeat(np.arange(len(text)), high - low + 1)
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(high - low + 1) - (high - low + 1), high - low + 1) + low[of]
+        begin = place[of] - np.minimum(nth * width + width - 1, (place - first)[of])
+        end = place[of] - np.maximum(nth * width, (place - last)[of])
+        common, stop = place[of] - nth * width, place[of] - nth * width - width + 1 + LENGTH
+        digit = _spread(Rolling(data).slices(common + shift[of], stop + shift[of]), nth)
+        content = _spread(Rolling(data, BASE_2).slices(begin + shift[of], end + LENGTH + shift[of]), place[of] - begin)
+        yield {"text": text[of], "place": place[of], "first": begin, "last": end, "open": open_[of].astype(bool), "digit": digit, "content": content}
+
+
+KEY = "doc_id bigint, mark bigint, place bigint, first bigint, last bigint, digit bigint, content bigint, open boolean"
+
+
+def _rows(batch: pa.RecordBatch, found: Iterator[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    for part in found:
+        where = pa.array(part["text"])
+        columns = [batch.column(c).take(where) for c in ("doc_id", "mark")]
+        columns += [pa.array(part[c]) for c in ("place", "first", "last", "digit", "content")]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(part.get("open", np.ones(len(where), bool)))], [c.split()[0] for c in KEY.split(", ")])
+
+
+def _first_digit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, marks = batch.column("doc_id"), batch.column("mark")
-        for of, first, last, digit, content in stretches(texts_of(batch)):
-            where = pa.array(np.full(len(first), of))
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(where), marks.take(where), pa.array(first), pa.array(last), pa.array(digit), pa.array(content)],
-                ["doc_id", "mark", "first", "last", "digit", "content"],
-            )
+        yield from _rows(batch, stretches(texts_of(batch)))
 
 
-def _suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The suffixes of listed stretches at full depth."""
-    for batch in batches:
-        ids, marks = batch.column("doc_id"), batch.column("mark")
-        for i, (text, spans) in enumerate(zip(texts_of(batch), batch.column("spans").to_pylist(), strict=True)):
-            for a, b, open_ in ((s["first"], s["last"], s["open"]) for s in spans):
-                for low in range(a, b + 1, PIECE):
-                    high = min(b, low + PIECE - 1)
-                    data = np.frombuffer(text, np.uint8, high - low + LENGTH, low)
-                    at = np.arange(high - low + 1)
-                    where = pa.array(np.full(len(at), i))
-                    yield pa.RecordBatch.from_arrays(
-                        [ids.take(where), marks.take(where), pa.array(at + low), pa.array(np.full(len(at), open_)), *(pa.array(Rolling(data, *base).slices(at, at + LENGTH).view(np.int64)) for base in ((), (BASE_2,)))],
-                        ["doc_id", "mark", "first", "open", "h1", "h2"],
-                    )
+def _next_digit(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _rows(batch, blocks(texts_of(batch), batch.column("spans").to_pylist(), width))
+
+    return run
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -111,26 +142,32 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text")).withColumn("mark", F.xxhash64("text"))
 
 
+def divide(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One pass: the ranges whose suffixes are all repeated, and the ranges that need the next digit.
+
+    A range that is only there to be compared with (``open`` is false) is never among the first.
+    """
+    rows = settle(rows)
+    digits = rows.groupBy("digit").agg(F.count("*").alias("n"), (F.min("content") != F.max("content")).alias("mixed"))
+    several = settle(digits.where("n > 1").select("digit", "mixed"))
+    alike = settle(with_group_value(rows.join(several, "digit").withColumn("s", salt("doc_id")), ["digit", "content"], "s", n=(F.count("*"), F.sum("n"))))
+    whole = alike.where("open AND n > 1").select("doc_id", "mark", "first", "last")
+    one = F.struct("doc_id", "mark", "place", "first", "last", (F.col("open") & (F.col("n") == 1)).alias("open"))
+    others = alike.where("mixed").groupBy("digit", "content").agg(F.max_by(one, F.struct("open", "doc_id", "mark", "first")).alias("one"))
+    others = others.withColumn("s", salt("content")).withColumn("still", F.col("one.open"))
+    asked = with_group_value(others, ["digit"], "s", any_open=(F.max("still"), F.max("any_open")))
+    return whole, settle(asked.where("any_open").select("one.*"))
+
+
 def repeated(docs: DataFrame) -> DataFrame:
     """(doc_id, mark, first, last): every repeated string starts in one of these ranges of a document, and no other does."""
     rows = _keyed(docs)
-    made = rows.mapInArrow(_stretch_rows, "doc_id bigint, mark bigint, first bigint, last bigint, digit bigint, content bigint")
-    # pass 1
-    digits = made.groupBy("digit").agg(F.count("*").alias("n"), (F.min("content") != F.max("content")).alias("mixed"))
-    several = cut_lineage(digits.where("n > 1").select("digit", "mixed"))
-    alike = cut_lineage(made.join(several, "digit"))
-    # pass 2
-    by_content = with_group_value(alike.withColumn("s", salt("doc_id")), ["digit", "content"], "s", n=(F.count("*"), F.sum("n")))
-    whole = by_content.where("n > 1").select("doc_id", "mark", "first", "last")
-    # pass 3: stretches alone with their content, and one of each other content of the same digit
-    place = F.struct("doc_id", "mark", "first", "last")
-    others = by_content.where("mixed").groupBy("digit", "content").agg(F.min(place).alias("at"), F.max("n").alias("n"))
-    spans = others.select("at.*", (F.col("n") == 1).alias("open")).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("first", "last", "open")).alias("spans"))
-    suffixes = same_keys(rows, spans, ["doc_id", "mark"]).mapInArrow(_suffix_rows, "doc_id bigint, mark bigint, first bigint, open boolean, h1 bigint, h2 bigint")
-    suffixes = cut_lineage(suffixes)
-    deep = suffixes.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-    single = suffixes.where("open").join(cut_lineage(deep), ["h1", "h2"]).select("doc_id", "mark", "first", F.col("first").alias("last"))
-    return whole.unionByName(single)
+    found, rest = divide(rows.mapInArrow(_first_digit, KEY))
+    for width in WIDTHS:
+        spans = rest.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("place", "first", "last", "open")).alias("spans"))
+        some, rest = divide(same_keys(rows, spans, ["doc_id", "mark"]).mapInArrow(_next_digit(width), KEY))
+        found = found.unionByName(some)
+    return found
 
 
 def covered(size: int, spans: list[tuple[int, int]], length: int) -> tuple[np.ndarray, int]:
@@ -159,7 +196,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept), one row per row of ``docs``; ``kept`` holds the bytes that stay."""
-    found = cut_lineage(repeated(docs)).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    found = repeated(docs).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     return same_keys(_keyed(docs), found, ["doc_id", "mark"], "left").select("doc_id", "text", "spans").mapInArrow(
         _cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
     )

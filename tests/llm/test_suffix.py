@@ -2,8 +2,6 @@ import hashlib
 import random
 from collections import Counter
 
-import pytest
-
 from sparkaudit.llm import suffix_dedup
 
 
@@ -21,8 +19,27 @@ def brute(rows, length):
         yield i, len(b), sum(inside), runs, hashlib.sha256(bytes(x for x, y in zip(b, inside, strict=True) if not y)).hexdigest()
 
 
-@pytest.mark.parametrize("piece", [suffix_dedup.PIECE, 300])
-def test_against_all_strings(spark, documents, prose, monkeypatch, piece):
+def test_pieces_of_long_texts(prose, monkeypatch):
+    """Cut anywhere, each string of a text is in one stretch, with the same digit and place."""
+    text = prose(3, 4000).encode()
+
+    def by_string():
+        out = {}
+        for part in suffix_dedup.stretches([text, text[50:]]):
+            for t, p, a, b, d in zip(*(part[c].tolist() for c in ("text", "place", "first", "last", "digit")), strict=True):
+                for s in range(a, b + 1):
+                    assert (t, s) not in out and a <= b
+                    out[t, s] = (p, d)
+        return out
+
+    whole = by_string()
+    assert len(whole) == 2 * (len(text) - 199) - 50
+    assert all(whole[1, s] == (whole[0, s + 50][0] - 50, whole[0, s + 50][1]) for s in range(len(text) - 249))
+    monkeypatch.setattr(suffix_dedup, "PIECE", 700)
+    assert by_string() == whole
+
+
+def test_against_all_strings(documents, prose):
     rng = random.Random(2)
     passage = prose(999, 120)
     rows = [(None, None), (1, ""), (2, "x" * 199), (3, "x" * 200), (4, "y" * 5000), (5, "é" * 150), (6, passage), (6, passage), (6, passage + "!"), (None, passage[:250])]
@@ -30,7 +47,6 @@ def test_against_all_strings(spark, documents, prose, monkeypatch, piece):
         a, b = sorted(rng.sample(range(len(passage)), 2))
         rows.append((100 + n, prose(n, 30) + passage[a:b] + prose(n + 500, 20 + n % 9)))
     rows += [(300 + n, rows[20 + n][1]) for n in range(5)]
-    monkeypatch.setattr(suffix_dedup, "PIECE", piece)
     got = Counter(tuple(r) for r in suffix_dedup.summary(documents(rows)).collect())
     assert got == Counter(brute(rows, 200))
     assert sum(r[2] > 0 for r in got) > 30
