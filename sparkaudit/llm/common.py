@@ -23,6 +23,18 @@ BASE_2 = 0xC2B2AE3D27D4EB4F
 RUN_BYTES = 1 << 20
 
 
+#: Bytes of a batch that goes to Python, unless the session sets its own bound. The default has none, and long texts add up.
+BATCH_BYTES = 8 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """The same rows, in a session whose batches to Python are bounded by bytes."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(setting, None) is None:
+        df.sparkSession.conf.set(setting, str(BATCH_BYTES))
+    return df
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     """The texts of a batch as UTF-8, NULL as empty."""
     column = batch.column(name)

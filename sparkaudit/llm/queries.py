@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkaudit.llm import bpe, exact_dedup, mixing, quality, rules, simhash, suffix_dedup
+from sparkaudit.llm import block_dedup, bpe, exact_dedup, mixing, quality, rules, simhash, suffix_dedup
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +24,21 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/documents.parquet")
 
 
+BLOCKS_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+w AS (
+  SELECT doc_id, s, row_number() OVER (PARTITION BY array_to_string(words[s:s + 19], ' ') ORDER BY doc_id, s) > 1 AS again
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS s FROM d)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS i FROM w WHERE again),
+u AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM d),
+k AS (
+  SELECT u.doc_id, string_agg(word, ' ' ORDER BY u.i) FILTER (gone.i IS NULL) AS kept, count(gone.i) AS n_removed
+  FROM u LEFT JOIN gone ON u.doc_id = gone.doc_id AND u.i = gone.i GROUP BY u.doc_id)
+SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
+
+
 @query("op1_quality_classifier")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     labels = spark.read.parquet(f"{folder.rstrip('/')}/labels.parquet")
@@ -64,6 +79,11 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.summary(documents(spark, folder))
 
 
+@query("op8_block_dedup", BLOCKS_SQL)
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return block_dedup.summary(documents(spark, folder))
+
+
 @query("op3_quality_rules")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     labels = spark.read.parquet(f"{folder.rstrip('/')}/labels.parquet")

@@ -47,7 +47,7 @@ def test_targets_and_copies(spark, seed):
         assert int(rate + 1e-9) <= r.taken // r["size"] <= int(rate + 1e-9) + 1
         taken[s] += r.taken
     for s in total:
-        assert abs(taken[s] - target[s]) <= max(5, 0.05 * target[s]), s  # few documents, sizes up to 4,000
+        assert abs(taken[s] - target[s]) <= max(5, 0.1 * target[s]), s  # few documents, sizes up to 4,000
     assert sorted(map(str, mixing.mix(docs.repartition(7)).collect())) == sorted(map(str, got))
 
 
