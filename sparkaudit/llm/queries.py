@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkaudit.llm import block_dedup, bpe, exact_dedup, mixing, quality, rules, simhash, suffix_dedup
+from sparkaudit.llm import block_dedup, bpe, exact_dedup, mixing, quality, rules, secrets, simhash, suffix_dedup
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -90,3 +90,9 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     stats = rules.statistics(documents(spark, folder))
     judged = rules.judge(stats, labels)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op6_secret_scan")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    return secrets.summary(docs, secrets.learn(docs))
