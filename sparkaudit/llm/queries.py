@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sparkaudit.llm import block_dedup, bpe, exact_dedup, mixing, quality, rules, secrets, simhash, suffix_dedup
+from sparkaudit.llm import block_dedup, bpe, chat, exact_dedup, mixing, quality, rules, secrets, simhash, suffix_dedup
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -96,3 +97,12 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     return secrets.summary(docs, secrets.learn(docs))
+
+
+@query("op2_chat_format")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """Roles are learned from three quarters of the conversations and recovered in all; the recovery never sees them."""
+    turns = spark.read.parquet(f"{folder.rstrip('/')}/conversations.parquet")
+    transcripts = chat.as_transcripts(turns)
+    model = chat.learn(transcripts.where(F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4 != 2))
+    return chat.recover(transcripts.drop("role"), model).select("conv_id", "turn", "role", "states", "rendered")
