@@ -16,13 +16,30 @@ CAPTION = r"^(Table|Figure)\s+(S?)(\d+)\."
 REFERENCE_LINE = r"^\s*(\d+)\.\s+(.*)$"
 REFERENCE_HEADING = "## References"
 SYMBOLIC_KEY = r"\[\[([^\[\]]+)\]\]|⟪([^⟪⟫]+)⟫"
-WIDEST_RANGE = 10000
+# A range of a million numbers or more is no range of references: it stays text and is reported by implausible_ranges.
+IMPLAUSIBLE_WIDTH = 1_000_000
 
 
 def _span(a: Column, b: Column) -> Column:
-    """All whole numbers from a to b in either order; a range wider than 10,000 keeps its two ends."""
+    """All whole numbers from a to b in either order; nothing for an implausible range."""
     lo, hi = F.least(a, b), F.greatest(a, b)
-    return F.when(hi - lo <= WIDEST_RANGE, F.sequence(lo, F.least(hi, lo + WIDEST_RANGE))).otherwise(F.array(lo, hi))
+    whole = F.sequence(lo, F.least(hi, F.try_add(lo, F.lit(IMPLAUSIBLE_WIDTH))))
+    return F.when(hi - lo < IMPLAUSIBLE_WIDTH, whole).otherwise(F.array().cast("array<bigint>"))
+
+
+def _is_implausible(token: Column) -> Column:
+    """Whether a token holds a range of a million numbers or more, or a number that 64 bits cannot hold."""
+
+    def wide(part: Column) -> Column:
+        ends = F.transform(all_matches(part, r"\d+"), lambda d: d.try_cast("bigint"))
+        return F.coalesce(let(ends, lambda e: F.abs(F.element_at(e, 1) - F.element_at(e, -1)) >= IMPLAUSIBLE_WIDTH), F.lit(True))
+
+    return F.exists(F.split(token, ","), wide)
+
+
+def implausible_ranges(text: Column) -> Column:
+    """Citation tokens of the body that are left as they are, because no reference list is that long."""
+    return F.filter(all_matches(body_of(text), CITATION), _is_implausible)
 
 
 def expand_ranges(token: Column) -> Column:
@@ -84,13 +101,14 @@ def reference_entries(text: Column) -> Column:
     )
 
 
-def _token_class(token: Column) -> Column:
-    kind = F.substring_index(F.regexp_replace(token, r"s?\s.*$", ""), " ", 1)
-    return F.when(token.rlike(r"^\w+\s+S\d"), F.concat(kind, F.lit(" S"))).otherwise(kind)
+def _item_class(token: Column, item: Column) -> Column:
+    """Table or Figure from the token, S from the item itself: ``Tables 4 and S5`` has one of each."""
+    kind = F.regexp_replace(token, r"s?\s.*$", "")
+    return F.when(item.startswith("S"), F.concat(kind, F.lit(" S"))).otherwise(kind)
 
 
 def _token_mentions(token: Column) -> Column:
-    def items(label: Column) -> Column:
+    def items(whole: Column) -> Column:
         return F.flatten(
             F.transform(
                 all_matches(token, ITEM),
@@ -98,20 +116,20 @@ def _token_mentions(token: Column) -> Column:
                     F.transform(all_matches(i, r"\d+"), lambda d: d.try_cast("bigint")),
                     lambda ends: F.transform(
                         _span(F.element_at(ends, 1), F.element_at(ends, -1)),
-                        lambda n: F.struct(label.alias("class"), n.alias("num")),
+                        lambda n: F.struct(_item_class(whole, i).alias("class"), n.alias("num")),
                     ),
                 ),
             )
         )
 
-    return let(_token_class(token), items)
+    return let(token, items)
 
 
 def mentions(text: Column) -> Column:
     """``array<struct<class, num>>`` in reading order.
 
     Four classes: Table, Table S, Figure, Figure S. ``Table S13`` is never ``Table 13``; plural
-    forms carry conjunctions and ranges. A later item of a plural token inherits its class.
+    forms carry conjunctions and ranges, and each item has the class of its own ``S``.
     """
     return F.flatten(F.transform(all_matches(text, MENTION), _token_mentions))
 
@@ -167,12 +185,12 @@ def replace_tokens(text: Column, pattern: str, render) -> Column:
 
 
 def renumber_citations(text: Column, mapping: Column) -> Column:
-    """Body citations through the map; the reference section is left as it is."""
+    """Body citations through the map; the reference section and implausible ranges are left as they are."""
 
     def render(token: Column) -> Column:
         old = expand_ranges(F.regexp_extract(token, CITATION, 1))
         new = F.transform(old, lambda n: F.coalesce(F.try_element_at(mapping, n), n).cast("string"))
-        return F.concat(F.lit("["), F.array_join(new, ","), F.lit("]"))
+        return F.when(_is_implausible(token), token).otherwise(F.concat(F.lit("["), F.array_join(new, ","), F.lit("]")))
 
     body = body_of(text)
     return F.concat(replace_tokens(body, CITATION, render), F.substring(text, F.length(body) + 1, F.length(text)))
@@ -201,7 +219,7 @@ def renumber_mentions(text: Column, mapping: Column, label: str, old_max: Column
         )
 
     def token(t: Column) -> Column:
-        return F.when(_token_class(t) == label, replace_tokens(t, ITEM, item)).otherwise(t)
+        return replace_tokens(t, ITEM, lambda i: F.when(_item_class(t, i) == label, item(i)).otherwise(i))
 
     return replace_tokens(text, MENTION, token)
 

@@ -22,6 +22,7 @@ def round_half_up(x: Column, dp: int = 0) -> Column:
 
 def wilson(x: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:
     """Score interval of x/n; (0, 0) when n is 0."""
+    x, n = x.cast("double"), n.cast("double")
     p = F.try_divide(x, n)
     denom = 1 + F.try_divide(F.lit(z * z), n)
     centre = (p + F.try_divide(F.lit(z * z), 2 * n)) / denom
@@ -84,6 +85,7 @@ def small_sample_j(n1: Column, n0: Column) -> Column:
 
 def smd_rms(m1: Column, s1: Column, n1: Column, m0: Column, s0: Column, n0: Column) -> tuple[Column, Column]:
     """Standardised mean difference over the root-mean-square SD, and its variance."""
+    n1, n0 = n1.cast("double"), n0.cast("double")
     y = small_sample_j(n1, n0) * F.try_divide(m1 - m0, F.sqrt((s1 * s1 + s0 * s0) / 2))
     v = F.try_divide((n1 + n0).cast("double"), (n1 * n0)) + F.try_divide(y * y, 2 * (n1 + n0))
     return y, F.when(y.isNotNull(), v)
@@ -91,6 +93,7 @@ def smd_rms(m1: Column, s1: Column, n1: Column, m0: Column, s0: Column, n0: Colu
 
 def smd_pooled(m1: Column, s1: Column, n1: Column, m0: Column, s0: Column, n0: Column) -> tuple[Column, Column]:
     """Classic Hedges g over the pooled SD, J = 1 - 3/(4N-9)."""
+    n1, n0 = n1.cast("double"), n0.cast("double")
     pooled = F.sqrt(F.try_divide((n1 - 1) * s1 * s1 + (n0 - 1) * s0 * s0, n1 + n0 - 2))
     g = (1 - F.try_divide(F.lit(3.0), 4 * (n1 + n0) - 9)) * F.try_divide(m1 - m0, pooled)
     v = F.try_divide((n1 + n0).cast("double"), (n1 * n0)) + F.try_divide(g * g, 2 * (n1 + n0))

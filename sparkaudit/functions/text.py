@@ -18,7 +18,12 @@ NULL_WORDS = r"\b(?:NaN|None|undefined)\b"
 VERSION_TAG = r"\bv1[0-9]\b"
 PLACEHOLDER_BRACKET = r"(?i)\[(?:Author|Affiliation|Institution|email|Corresponding|funding)"
 THOUSANDS_COMMA = r"[0-9],[0-9]{3}"
-PLACEHOLDER = r"\bTODO\b|\bTBD\b|\bFIXME\b|\bXXX\b|\[DOI[^\]]*\]|to be supplied|to be inserted|YOUR_[A-Z_]+"
+PLACEHOLDER = (
+    r"(?i)\bTODO\b|\bTBD\b|\bFIXME\b|\bXXX\b|YOUR_[A-Z_]+|\u5f85\u5b9a|\u5f85\u56de\u586b|\[DOI[^\]]*\]|\(DOI to be inserted[^)]*\)|"
+    r"to be supplied|to be inserted"
+)
+BARE_REFERENCE = r"(?<!Supplementary )(?<!supplementary )(?<!Supplemental )(?<!and )\b(?:Table|Figure)s? S\d+"
+VARIANT_SPELLING = r"\bSupplemental\b"
 ESCAPE_RESIDUE = r"\\u[0-9a-fA-F]{4}"
 MARKUP_TAG = r"</?(?:i|b|sub|sup|em|strong)>"
 GLUED_ACCESSION = r"GSE\d{7,}"

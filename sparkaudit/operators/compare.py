@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
 import pandas as pd
@@ -200,26 +199,3 @@ def affine_equivalent(df: DataFrame, a: str, b: str, keys: Sequence[str] = (), t
         F.first("slope").alias("slope"), F.first("intercept").alias("intercept"), F.max(resid).alias("max_residual")
     )
     return out.withColumn("equivalent", F.col("max_residual") <= tol)
-
-
-def fingerprint(df: DataFrame) -> DataFrame:
-    """Order-free digest of a result: rows, and a sum of row hashes (doubles at ten significant digits).
-
-    Doubles are scaled by pi before they are cut, so that round values do not sit on a rounding edge.
-    """
-    cols: list[Column] = []
-    for name, kind in df.dtypes:
-        cols.append(F.format_string("%.9e", F.col(name) * math.pi) if kind in ("double", "float") else F.col(name))
-    h = F.xxhash64(*cols).cast("decimal(38,0)")
-    return df.select(h.alias("_h")).agg(F.count("*").alias("n"), F.coalesce(F.sum("_h"), F.lit(0)).alias("digest"))
-
-
-def order_invariant(op, df: DataFrame, seed: int = 1) -> bool:
-    """Does ``op`` give the same result on the rows as they are, shuffled, and repeated?
-
-    Only three digests reach the driver.
-    """
-    plain = fingerprint(op(df)).first()
-    shuffled = fingerprint(op(df.repartition(7, F.xxhash64(F.lit(seed), *df.columns)))).first()
-    again = fingerprint(op(df)).first()
-    return plain == shuffled == again

@@ -63,11 +63,11 @@ HYGIENE: tuple[Check, ...] = (
 
 
 def hygiene_counts(
-    docs: DataFrame, checks: Sequence[Check] = HYGIENE, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame, checks: Sequence[Check] = HYGIENE, doc_id: str = "doc_id", text: str = "text", keep: Sequence[str] = ()
 ) -> DataFrame:
     """One row per document and one count per check, in a single scan without a shuffle."""
     t = F.col(text)
-    return docs.select(F.col(doc_id).alias("doc_id"), *[c.count(t).cast("bigint").alias(c.name) for c in checks])
+    return docs.select(F.col(doc_id).alias("doc_id"), *keep, *[c.count(t).cast("bigint").alias(c.name) for c in checks])
 
 
 def counts_to_findings(counts: DataFrame, checks: Sequence[Check] = HYGIENE) -> DataFrame:
@@ -133,6 +133,30 @@ def verdict(findings: DataFrame, expected: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def verdict_of_counts(counts: DataFrame, checks: Sequence[Check] = HYGIENE, expected: Sequence[str] = ()) -> DataFrame:
+    """The verdict from the wide counts of a document, in its row: no explode and no shuffle."""
+    names = F.array_sort(F.array(*[F.lit(c.name) for c in checks]))
+    failing = F.array_sort(F.array_compact(F.array(*[F.when(F.col(c.name) > 0, F.lit(c.name)) for c in checks if c.severity == "FAIL"])))
+    not_run = F.array_compact(F.array(*[F.when(F.col(c.name).isNull(), F.lit(c.name)) for c in checks]))
+    wanted = F.array(*[F.lit(e) for e in sorted(expected)]).cast("array<string>")
+    judged = evaluate_once(counts, _failing=failing, _ran=F.array_except(names, not_run))
+    return judged.select(
+        "doc_id",
+        F.when(F.size("_failing") > 0, "FAIL").otherwise("PASS").alias("verdict"),
+        F.size("_failing").cast("bigint").alias("n_fail"),
+        F.col("_failing").alias("failing"),
+        F.size("_ran").alias("n_run"),
+        F.array_except(wanted, F.col("_ran")).alias("not_run"),
+    )
+
+
+def version_matrix_of_counts(counts: DataFrame, version: str, versions: Sequence[str], checks: Sequence[Check] = HYGIENE) -> DataFrame:
+    """One row per check, one column per version: all sums in one aggregation over the wide counts."""
+    sums = counts.agg(*[F.sum(F.when(F.col(version) == v, F.col(c.name))).alias(f"{c.name}|{v}") for c in checks for v in versions])
+    rows = F.array(*[F.struct(F.lit(c.name).alias("check"), *[F.col(f"`{c.name}|{v}`").alias(v) for v in versions]) for c in checks])
+    return sums.select(F.inline(rows))
+
+
 def version_matrix(findings: DataFrame, version: str, versions: Sequence[str]) -> DataFrame:
     """One row per check, one column per version, cells are summed counts."""
     return findings.groupBy("check").pivot(version, list(versions)).agg(F.sum("n"))
@@ -387,7 +411,15 @@ def definitions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             ),
         ),
     )
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.inline(pairs)).where(F.col("abbr").rlike(ABBREVIATION_SHAPE))
-    return rows.groupBy("doc_id", "abbr").agg(
-        F.max(F.struct(F.length("phrase").alias("n"), F.col("phrase"))).getField("phrase").alias("definition")
-    )
+
+    def looked_up(lowered: Column) -> Column:
+        """Whether the first two words of each phrase are in the text, in any case."""
+        return F.transform(
+            pairs, lambda p: F.struct(p["abbr"].alias("abbr"), p["phrase"].alias("phrase"),
+                                      F.contains(lowered, F.lower(F.substring_index(p["phrase"], " ", 2))).alias("there")),
+        )
+
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.inline(X.let(F.lower(flat), looked_up))).where(F.col("abbr").rlike(ABBREVIATION_SHAPE))
+    best = rows.groupBy("doc_id", "abbr").agg(F.max(F.struct(F.length("phrase").alias("n"), F.col("phrase"), F.col("there"))).alias("best"))
+    spelled = F.when(F.col("best.phrase") == "", "?").when(F.col("best.there"), "yes").otherwise("NOT SPELLED OUT")
+    return best.select("doc_id", "abbr", F.col("best.phrase").alias("definition"), spelled.alias("spelled_out"))

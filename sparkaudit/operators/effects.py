@@ -8,10 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkaudit.functions import stats as S
-from sparkaudit.functions.draws import normal
 from sparkaudit.functions.tails import p_from_t, p_from_z, t975
-from sparkaudit.operators.ordered import prefix_sums, suffix_min
-from sparkaudit.session import evaluate_once
+from sparkaudit.operators.ordered import null_safe_join, prefix_sums, suffix_min
 
 # Groups up to this many estimates are pooled inside one row; larger ones by distributed passes.
 IN_ROW_LIMIT = 10000
@@ -277,7 +275,7 @@ def bh_fdr(df: DataFrame, family: Sequence[str], p: str) -> DataFrame:
     sums = prefix_sums(df, family, p, {"n": F.lit(1).cast("bigint")})
     raw = sums.withColumn("q", F.least(F.lit(1.0), F.col(p) * F.col("n_total") / (F.col("n_before") + F.col("n"))))
     adjusted = suffix_min(raw.select(*family, p, "q"), family, p, "q").select(*family, p, F.col("q_suffix").alias("q"))
-    return df.join(adjusted, [*family, p], "left")
+    return null_safe_join(df, adjusted, [*family, p], "left")
 
 
 def threshold_ladder(df: DataFrame, thresholds: Sequence[float], measure: str, p: str, alpha: float = 0.05,
@@ -293,35 +291,6 @@ def threshold_ladder(df: DataFrame, thresholds: Sequence[float], measure: str, p
     return wide.select(*keys, F.inline(rows))
 
 
-def mc_variance(reps: DataFrame, rep: str, grid: Sequence[tuple[int, int, float]], seed: int = 1) -> DataFrame:
-    """Simulated against analytic variance of the SMD on a small grid of (n1, n0, delta).
-
-    ``reps`` supplies the replicate ids; draws depend on (seed, grid cell, replicate, unit) only.
-    """
-    cells = F.array(*[F.struct(F.lit(i).alias("cell"), F.lit(a).alias("n1"), F.lit(b).alias("n0"), F.lit(float(d)).alias("delta"))
-                      for i, (a, b, d) in enumerate(grid)])
-    g = reps.select(F.col(rep).alias("rep"), F.inline(cells))
-
-    def arm(n: Column, tag: str, shift: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), n), lambda i: normal(seed, F.col("cell"), F.col("rep"), F.lit(tag), i) + shift)
-
-    drawn = evaluate_once(g, _a=arm(F.col("n1"), "a", F.col("delta")), _b=arm(F.col("n0"), "b", F.lit(0.0)))
-    mean = lambda c, n: F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x) / n
-    drawn = evaluate_once(drawn, m1=mean(F.col("_a"), F.col("n1")), m0=mean(F.col("_b"), F.col("n0")))
-    sd = lambda c, m, n: F.sqrt(F.aggregate(c, F.lit(0.0), lambda acc, x: acc + (x - m) * (x - m)) / (n - 1))
-    drawn = evaluate_once(
-        drawn, s1=sd(F.col("_a"), F.col("m1"), F.col("n1")), s0=sd(F.col("_b"), F.col("m0"), F.col("n0"))
-    )
-    y, v = S.smd_rms(*[F.col(c) for c in ("m1", "s1", "n1", "m0", "s0", "n0")])
-    e = drawn.select("cell", "n1", "n0", "delta", y.alias("y"), v.alias("v"))
-    covered = F.abs(F.col("y") - F.col("delta")) <= S.Z95 * F.sqrt("v")
-    out = e.groupBy("cell", "n1", "n0", "delta").agg(
-        F.count("*").alias("reps"), F.avg("y").alias("mean_estimate"), F.var_samp("y").alias("empirical_variance"),
-        F.avg("v").alias("analytic_variance"), F.avg(covered.cast("double")).alias("coverage"),
-    )
-    return out.withColumn("ratio", F.try_divide(F.col("analytic_variance"), F.col("empirical_variance")))
-
-
 def attenuation(base: DataFrame, adjusted: DataFrame, keys: Sequence[str]) -> DataFrame:
     """|adjusted| / |base| per state on the same sample."""
     a = base.select(*keys, F.col("yi").alias("base"))

@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 from sparkaudit.functions import text as X
 
 
-def dangling_refs(cites: DataFrame, refs: DataFrame, cite_keys: Sequence[str], ref_keys: Sequence[str]) -> DataFrame:
-    """Cited keys that are not listed, with the number of citations."""
-    cited = cites.groupBy(*cite_keys).agg(F.count("*").alias("n_cites"))
+def dangling_refs(
+    cites: DataFrame, refs: DataFrame, cite_keys: Sequence[str], ref_keys: Sequence[str], by: Sequence[str] = ()
+) -> DataFrame:
+    """Cited keys that are not listed, with the number of citations, by document or other columns."""
+    cited = cites.groupBy(*by, *cite_keys).agg(F.count("*").alias("n_cites"))
     listed = refs.select(*[F.col(r).alias(c) for c, r in zip(cite_keys, ref_keys)]).distinct()
     return cited.join(listed, list(cite_keys), "left_anti")
 

@@ -95,8 +95,8 @@ def prefix_sums(
     )
 
 
-def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner join where NULL keys meet each other, with one copy of the keys."""
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join where NULL keys meet each other, with one copy of the keys."""
     renamed = right
     for k in keys:
         renamed = renamed.withColumnRenamed(k, f"_r_{k}")
@@ -104,7 +104,7 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Da
     for k in keys:
         term = F.col(k).eqNullSafe(F.col(f"_r_{k}"))
         condition = term if condition is None else condition & term
-    return left.join(renamed, condition).drop(*[f"_r_{k}" for k in keys])
+    return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
 
 
 def average_ranks(df: DataFrame, keys: Sequence[str], value: str, by: Mapping[str, Column] | None = None) -> DataFrame:

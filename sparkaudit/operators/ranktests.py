@@ -49,13 +49,14 @@ def rank_sum(df: DataFrame, keys: Sequence[str], value: str, case: Column) -> Da
         F.max("n1_total").alias("n1"), F.max("n0_total").alias("n0"), F.sum(F.col("n1") * rank).alias("w"),
         F.sum(t * t * t - t).alias("_tie"),
     )
-    n = F.col("n1") + F.col("n0")
-    mean = F.col("n1") * (n + 1) / 2.0
-    var = F.col("n1") * F.col("n0") / 12.0 * ((n + 1) - F.coalesce(F.try_divide(F.col("_tie"), (n * (n - 1)).cast("double")), F.lit(0.0)))
-    u = F.col("w") - F.col("n1") * (F.col("n1") + 1) / 2.0
+    n1, n0 = F.col("n1").cast("double"), F.col("n0").cast("double")  # products of large groups pass 64 bits
+    n = n1 + n0
+    mean = n1 * (n + 1) / 2.0
+    var = n1 * n0 / 12.0 * ((n + 1) - F.coalesce(F.try_divide(F.col("_tie"), n * (n - 1)), F.lit(0.0)))
+    u = F.col("w") - n1 * (n1 + 1) / 2.0
     return s.select(
         *keys, "n1", "n0", "w", F.try_divide(F.col("w") - mean, F.sqrt(var)).alias("z"),
-        F.try_divide(u, (F.col("n1") * F.col("n0")).cast("double")).alias("auc"),
+        F.try_divide(u, n1 * n0).alias("auc"),
     )
 
 

@@ -17,7 +17,7 @@ def first_mention_order(df: DataFrame, keys: Sequence[str], num: str, pos: str)
     """
     first = df.groupBy(*keys, num).agg(F.min(pos).alias("first_pos"))
     ranked = prefix_sums(first, keys, "first_pos", {"one": F.lit(1).cast("bigint")})
-    return first.join(ranked.select(*keys, "first_pos", (F.col("one_before") + 1).alias("rank")), [*keys, "first_pos"])
+    return null_safe_join(first, ranked.select(*keys, "first_pos", (F.col("one_before") + 1).alias("rank")), [*keys, "first_pos"])
 
 
 def order_violations(df: DataFrame, keys: Sequence[str], num: str, pos: str) -> DataFrame:

@@ -91,8 +91,7 @@ def provenance_in_text(t: Tables) -> DataFrame:
 def join_dangling(t: Tables) -> DataFrame:
     """Line items are citations, parts up to size 40 are the reference list."""
     refs = t.part.where("p_size <= 40").select("p_partkey")
-    cites = t.lineitem.groupBy("l_orderkey", "l_partkey").agg(F.count("*").alias("n_cites"))
-    return cites.join(refs, cites.l_partkey == refs.p_partkey, "left_anti")
+    return J.dangling_refs(t.lineitem, refs, ["l_partkey"], ["p_partkey"], by=["l_orderkey"])
 
 
 @query(

@@ -242,9 +242,31 @@ def flt_stale_phrases(t: Tables) -> DataFrame:
     )
 
 
-@query("flt_hygiene_battery", f"WITH {HYGIENE_SQL} SELECT doc_id, \"check\", status, n FROM fs")
+EVIDENCE_SQL = "e AS (" + " UNION ALL ".join(
+    f"""SELECT doc_id, '{name}' AS "check", array_to_string(list_sort(list_distinct({found})), '|') AS evidence FROM w"""
+    for name, found in {
+        "doubled_words": r"""list_transform(list_filter(range(2, len(tok) + 1), lambda i:
+            regexp_extract(lower(tok[i - 1]), '([\p{L}\p{N}_]+)$', 1) <> ''
+            AND regexp_extract(lower(tok[i - 1]), '([\p{L}\p{N}_]+)$', 1) = regexp_extract(lower(tok[i]), '^([\p{L}\p{N}_]+)', 1)),
+            lambda i: regexp_extract(tok[i - 1], '([\p{L}\p{N}_]+)$', 1))""",
+        "double_spaces": "regexp_extract_all(text, '[A-Za-z] {2,}[A-Za-z]')",
+        "space_before_punctuation": r"regexp_extract_all(text, '\s+[.,]')",
+        "null_words": r"regexp_extract_all(text, '\b(?:NaN|None|undefined)\b')",
+        "version_tags": r"regexp_extract_all(text, '\bv1[0-9]\b')",
+        "placeholder_brackets": r"regexp_extract_all(text, '(?i)\[(?:Author|Affiliation|Institution|email|Corresponding|funding)')",
+        "thousands_commas": "regexp_extract_all(text, '[0-9],[0-9]{3}')",
+    }.items()
+) + ")"
+
+
+@query(
+    "flt_hygiene_battery",
+    f"""WITH {HYGIENE_SQL}, {EVIDENCE_SQL}
+      SELECT doc_id, "check", status, n, coalesce(evidence, '') AS evidence FROM fs LEFT JOIN e USING (doc_id, "check")""",
+)
 def flt_hygiene_battery(t: Tables) -> DataFrame:
-    return O.counts_to_findings(O.hygiene_counts(t.documents)).select("doc_id", "check", "status", "n")
+    found = O.run_checks(t.documents, O.HYGIENE)
+    return found.select("doc_id", "check", "status", "n", F.array_join(F.array_sort("evidence"), "|").alias("evidence"))
 
 
 def _ms(name: str, sql: str):
@@ -273,11 +295,10 @@ def flt_foreign_script(t: Tables) -> DataFrame:
 
 @_ms(
     "flt_bare_reference",
-    "SELECT doc_id, 1::BIGINT AS n, 'Figure S' || b AS evidence FROM k",
+    "SELECT doc_id, 1::BIGINT AS n, 'Tables S1' AS evidence FROM k",
 )
 def flt_bare_reference(t: Tables) -> DataFrame:
-    pattern = r"(?<!Supplementary )(?<!Supplemental )\b(?:Table|Figure) S\d+"
-    return O.pattern_hits(manuscripts(t), pattern).withColumn("evidence", joined("evidence"))
+    return O.pattern_hits(manuscripts(t), f"{X.BARE_REFERENCE}|{X.VARIANT_SPELLING}").withColumn("evidence", joined("evidence"))
 
 
 @query(
@@ -526,8 +547,8 @@ def agg_abbrev_candidates(t: Tables) -> DataFrame:
 @query(
     "agg_abbrev_definition",
     """SELECT c_custkey AS doc_id, 'C' || c_mktsegment[1:3] AS abbr, CASE WHEN c_custkey % 2 = 0
-         THEN 'long customer segment of ' || lower(c_mktsegment) ELSE lower(c_mktsegment) || ' customer' END AS definition
-       FROM customer""",
+         THEN 'long customer segment of ' || lower(c_mktsegment) ELSE lower(c_mktsegment) || ' customer' END AS definition,
+         'yes' AS spelled_out FROM customer""",
 )
 def agg_abbrev_definition(t: Tables) -> DataFrame:
     c = t.customer
@@ -647,7 +668,7 @@ def join_normalized_url(t: Tables) -> DataFrame:
     count(*) AS n_run, 'spelling' AS not_run FROM fs GROUP BY doc_id""")
 def agg_verdict(t: Tables) -> DataFrame:
     expected = [c.name for c in O.HYGIENE] + ["spelling"]
-    v = O.verdict(O.counts_to_findings(O.hygiene_counts(t.documents)), expected)
+    v = O.verdict_of_counts(O.hygiene_counts(t.documents), expected=expected)
     return v.select("doc_id", "verdict", "n_fail", joined("failing").alias("failing"), "n_run", joined("not_run").alias("not_run"))
 
 
@@ -657,10 +678,7 @@ def agg_verdict(t: Tables) -> DataFrame:
   FROM fs JOIN documents USING (doc_id) GROUP BY "check" """)
 def agg_version_matrix(t: Tables) -> DataFrame:
     """The language column stands in for the version label."""
-    counts = O.hygiene_counts(t.documents).alias("h")
-    langs = t.documents.select("doc_id", "lang")
-    long = O.counts_to_findings(counts).join(langs, "doc_id")
-    return O.version_matrix(long, "lang", ["en", "fr", "de", "es"])
+    return O.version_matrix_of_counts(O.hygiene_counts(t.documents, keep=["lang"]), "lang", ["en", "fr", "de", "es"])
 
 
 @query("agg_keyword_matrix", """
