@@ -84,6 +84,11 @@ def flatten_ws(text: Column) -> Column:
     return F.trim(F.regexp_replace(plain_spaces(text), r"\s+", " "))
 
 
+def lower_words(text: Column) -> Column:
+    """Lower-case words between white space."""
+    return F.filter(F.split(F.lower(plain_spaces(text)), r"\s+"), lambda w: w != "")
+
+
 def sentences(text: Column, stops: str = ".;") -> Column:
     return F.filter(F.split(text, rf"(?<=[{stops}])\s+"), lambda s: s != "")
 

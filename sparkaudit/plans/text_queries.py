@@ -709,3 +709,19 @@ def set_union_corpus(t: Tables) -> DataFrame:
         t.benchmark.select(F.lit("item").alias("kind"), F.col("item_id").alias("doc_id"), "text"),
     )
     return whole.groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("set_near_duplicates", r"""
+  WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '') AS w FROM documents),
+  s AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' ')))) AS sh FROM d),
+  r AS (SELECT min(doc_id) AS rep_id, sh, len(sh) AS n FROM s GROUP BY sh),
+  u AS (SELECT rep_id, n, unnest(sh) AS x FROM r),
+  p AS (
+    SELECT a.rep_id AS rep_id, b.rep_id AS lead, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS ratio
+    FROM u a JOIN u b ON a.x = b.x AND b.rep_id < a.rep_id GROUP BY ALL),
+  b AS (SELECT rep_id, min(lead) AS similar_to, arg_min(ratio, lead) AS ratio FROM p WHERE ratio >= 0.8 GROUP BY rep_id)
+  SELECT s.doc_id, r.rep_id, similar_to, round(ratio, 6) AS ratio FROM s JOIN r ON s.sh = r.sh LEFT JOIN b ON b.rep_id = r.rep_id""")
+def set_near_duplicates(t: Tables) -> DataFrame:
+    from sparkaudit.operators.similar import near_duplicates
+
+    return near_duplicates(t.documents).withColumn("ratio", F.round("ratio", 6))
