@@ -69,9 +69,9 @@ def src_rules(t: Tables) -> DataFrame:
     )
     c.select(file).write.text(path)
     # One rule file per line here; a single pretty-printed file is read with multiLine.
-    raw = t.spark.read.schema(S.RULES_SCHEMA).json(path)
-    rules = raw.select("abstract_max_words", F.coalesce("abstract_must_not_cite", F.lit(False)).alias("must_not_cite"),
-                       F.size("stale").alias("n_stale"), F.inline("csv_counts"))
+    rules = S.load_rules(t.spark, path, one_file=False).select(
+        "abstract_max_words", F.col("abstract_must_not_cite").alias("must_not_cite"), F.size("stale").alias("n_stale"), F.inline("csv_counts")
+    )
     return rules.select(
         "name", "where", F.size(F.coalesce("expect", F.array().cast("array<string>"))).alias("n_expect"),
         "abstract_max_words", "must_not_cite", "n_stale",
@@ -181,15 +181,36 @@ fs AS (
 """
 
 
+EVIDENCE_SQL = "e AS (" + " UNION ALL ".join(
+    f"""SELECT doc_id, '{name}' AS "check", array_to_string(list_sort(list_distinct({found})), '|') AS evidence FROM w"""
+    for name, found in {
+        "doubled_words": r"""list_transform(list_filter(range(2, len(tok) + 1), lambda i:
+            regexp_extract(lower(tok[i - 1]), '([\p{L}\p{N}_]+)$', 1) <> ''
+            AND regexp_extract(lower(tok[i - 1]), '([\p{L}\p{N}_]+)$', 1) = regexp_extract(lower(tok[i]), '^([\p{L}\p{N}_]+)', 1)),
+            lambda i: regexp_extract(tok[i - 1], '([\p{L}\p{N}_]+)$', 1))""",
+        "double_spaces": "regexp_extract_all(text, '[A-Za-z] {2,}[A-Za-z]')",
+        "space_before_punctuation": r"regexp_extract_all(text, '\s+[.,]')",
+        "null_words": r"regexp_extract_all(text, '\b(?:NaN|None|undefined)\b')",
+        "version_tags": r"regexp_extract_all(text, '\bv1[0-9]\b')",
+        "placeholder_brackets": r"regexp_extract_all(text, '(?i)\[(?:Author|Affiliation|Institution|email|Corresponding|funding)')",
+        "thousands_commas": "regexp_extract_all(text, '[0-9],[0-9]{3}')",
+    }.items()
+) + ")"
+
+
 @query(
     "sink_findings",
-    f"""WITH {HYGIENE_SQL} SELECT "check", status, count(*) AS n_docs, sum(n)::BIGINT AS n FROM fs GROUP BY ALL""",
+    f"""WITH {HYGIENE_SQL}, {EVIDENCE_SQL} SELECT "check", status, count(*) AS n_docs, sum(n)::BIGINT AS n,
+         sum(CASE WHEN coalesce(evidence, '') = '' THEN 0 ELSE len(string_split(evidence, '|')) END)::BIGINT AS n_evidence
+       FROM fs LEFT JOIN e USING (doc_id, "check") GROUP BY "check", status""",
 )
 def sink_findings(t: Tables) -> DataFrame:
     path = shared_dir(t.spark)
-    sinks.write_findings(O.counts_to_findings(O.hygiene_counts(t.documents)), path)
+    sinks.write_findings(O.run_checks(t.documents, O.HYGIENE), path)
     back = t.spark.read.parquet(path)
-    return back.groupBy("check", "status").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n"))
+    return back.groupBy("check", "status").agg(
+        F.count("*").alias("n_docs"), F.sum("n").alias("n"), F.sum(F.size("evidence")).cast("bigint").alias("n_evidence")
+    )
 
 
 @query(
@@ -242,23 +263,6 @@ def flt_stale_phrases(t: Tables) -> DataFrame:
     )
 
 
-EVIDENCE_SQL = "e AS (" + " UNION ALL ".join(
-    f"""SELECT doc_id, '{name}' AS "check", array_to_string(list_sort(list_distinct({found})), '|') AS evidence FROM w"""
-    for name, found in {
-        "doubled_words": r"""list_transform(list_filter(range(2, len(tok) + 1), lambda i:
-            regexp_extract(lower(tok[i - 1]), '([\p{L}\p{N}_]+)$', 1) <> ''
-            AND regexp_extract(lower(tok[i - 1]), '([\p{L}\p{N}_]+)$', 1) = regexp_extract(lower(tok[i]), '^([\p{L}\p{N}_]+)', 1)),
-            lambda i: regexp_extract(tok[i - 1], '([\p{L}\p{N}_]+)$', 1))""",
-        "double_spaces": "regexp_extract_all(text, '[A-Za-z] {2,}[A-Za-z]')",
-        "space_before_punctuation": r"regexp_extract_all(text, '\s+[.,]')",
-        "null_words": r"regexp_extract_all(text, '\b(?:NaN|None|undefined)\b')",
-        "version_tags": r"regexp_extract_all(text, '\bv1[0-9]\b')",
-        "placeholder_brackets": r"regexp_extract_all(text, '(?i)\[(?:Author|Affiliation|Institution|email|Corresponding|funding)')",
-        "thousands_commas": "regexp_extract_all(text, '[0-9],[0-9]{3}')",
-    }.items()
-) + ")"
-
-
 @query(
     "flt_hygiene_battery",
     f"""WITH {HYGIENE_SQL}, {EVIDENCE_SQL}

@@ -61,9 +61,9 @@ def results_or_finding(spark: SparkSession, name: str, path: str) -> tuple[DataF
         return None, spark.createDataFrame(row, "check string, status string, detail string")
 
 
-def load_rules(spark: SparkSession, path: str) -> DataFrame:
-    """Rule files, one row each, absent keys filled with their defaults."""
-    raw = spark.read.schema(RULES_SCHEMA).json(path, multiLine=True)
+def load_rules(spark: SparkSession, path: str, one_file: bool = True) -> DataFrame:
+    """Rule files, one row each, absent keys filled with their defaults. ``one_file`` false: a rule file on each line."""
+    raw = spark.read.schema(RULES_SCHEMA).json(path, multiLine=one_file)
     texts = F.array().cast("array<string>")
     return raw.select(
         "abstract_max_words",
