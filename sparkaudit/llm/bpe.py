@@ -6,7 +6,8 @@ the first merge across a token border in the run over all bytes. Until then the
 have been merged as in a run over these two alone, because the lowest rank among all is the lowest among theirs as well,
 so the run over the two would make the same merge, and they would not be stable. If all borders are stable there is no
 such merge, and each token forms by itself.) The halves are stable inside, so only the border in the middle is in doubt: a
-window of one token on each side is encoded anew and grows by a token on any side whose border with the rest is not stable.
+window of one token on each side is encoded anew and grows, by twice as many tokens each time, on any side whose border with
+the rest is not stable.
 
 The pattern splits the text first; no token crosses a match. A match that is a token itself is that token, as in the
 reference library. Matches repeat, so each task keeps a table of those it has met, of bounded size.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkaudit.llm.common import texts_of
+from sparkaudit.llm.common import bounded
 
 #: Pieces, neighbour pairs and short strings that a task remembers, at most, of each.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 #: Bytes of a piece that are merged directly, below the tree.
 LEAF = 6
+#: Bytes from which on merging uses a heap.
+LONG = 40
 
 
 class Tokenizer:
@@ -58,6 +62,8 @@ class Tokenizer:
 
     def merge_anew(self, data: bytes) -> list[int]:
         """Again and again the pair of lowest rank becomes one, the leftmost of equals."""
+        if len(data) > LONG:
+            return self.merge_long(data)
         ranks = self.ranks
         parts = [data[i : i + 1] for i in range(len(data))]
         best = [ranks.get(a + b) for a, b in zip(parts, parts[1:], strict=False)]
@@ -75,6 +81,32 @@ class Tokenizer:
             if at < len(best):
                 best[at] = ranks.get(parts[at] + parts[at + 1])
 
+    def merge_long(self, data: bytes) -> list[int]:
+        """The same with a heap of pairs over a linked list."""
+        ranks, n = self.ranks, len(data)
+        end = list(range(1, n + 1))  # where the part that starts here ends
+        before = list(range(-1, n - 1))
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(data[i : i + 2])) is not None]
+        heapify(heap)
+        while heap:
+            rank, i, stop = heappop(heap)
+            middle = end[i]
+            if middle >= n or middle < 0 or end[middle] != stop:
+                continue  # one of the two has been merged since
+            end[i], end[middle] = stop, -1
+            if stop < n:
+                before[stop] = i
+                if (r := ranks.get(data[i : end[stop]])) is not None:
+                    heappush(heap, (r, i, end[stop]))
+            left = before[i]
+            if left >= 0 and (r := ranks.get(data[left:stop])) is not None:
+                heappush(heap, (r, left, stop))
+        out, i = [], 0
+        while i < n:
+            out.append(ranks[data[i : end[i]]])
+            i = end[i]
+        return out
+
     def is_stable(self, left: int, right: int) -> bool:
         """Whether two tokens stay as they are when their bytes meet."""
         met = self.stable.get((left, right))
@@ -88,14 +120,16 @@ class Tokenizer:
         """The tokens of two strings laid together, from the tokens of each."""
         if not left or not right or self.is_stable(left[-1], right[0]):
             return left + right
-        i, j = len(left) - 1, 1
+        i, j, more = len(left) - 1, 1, 1
         while True:
             window = self.merge(b"".join(map(self.token.__getitem__, left[i:] + right[:j])))
             left_holds = i == 0 or self.is_stable(left[i - 1], window[0])
             right_holds = j == len(right) or self.is_stable(window[-1], right[j])
             if left_holds and right_holds:
                 return left[:i] + window + right[j:]
-            i, j = i - (not left_holds), j + (not right_holds)
+            # a window that has to grow often grows faster, so that all its encodings together cost about the last one
+            i, j = max(0, i - more * (not left_holds)), min(len(right), j + more * (not right_holds))
+            more *= 2
 
     def tree(self, data: bytes) -> list[int]:
         if len(data) <= LEAF:
@@ -142,7 +176,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
             ids = [tokenizer.encode(t or "") for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], [*columns, "__ids"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__ids", T.BinaryType())]))
+    return bounded(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__ids", T.BinaryType())]))
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], pattern: str, ids: str = "__ids") -> DataFrame:
