@@ -29,13 +29,12 @@ def normal(*keys: Column | str | int) -> Column:
 
 
 def poisson1(*keys: Column | str | int) -> Column:
-    """A Poisson(1) count by inversion; the tail beyond 12 has probability below 1e-10."""
+    """A Poisson(1) count by inversion, up to where the distribution function stops moving in double precision."""
     u = uniform(*keys)
-    count, cumulative = None, 0.0
-    for k in range(12):
-        cumulative += math.exp(-1) / math.factorial(k)
-        count = F.when(u < cumulative, F.lit(k)) if count is None else count.when(u < cumulative, F.lit(k))
-    return count.otherwise(F.lit(12)).cast("bigint")
+    count, cumulative, k = F, 0.0, 0
+    while (above := cumulative + math.exp(-1) / math.factorial(k)) > cumulative:
+        count, cumulative, k = count.when(u < above, F.lit(k)), above, k + 1
+    return count.otherwise(F.lit(k)).cast("bigint")
 
 
 def pick(n: Column, *keys: Column | str | int) -> Column:

@@ -228,19 +228,13 @@ def coverage(members: DataFrame, present: DataFrame, set_key: str, member: str,
 
 
 def set_overlap(df: DataFrame, set_key: str, member: str, sets: Sequence[str] | None = None) -> DataFrame:
-    """Pairwise Jaccard and containment of sets, for a named, short list of sets.
+    """Pairwise Jaccard and containment of the sets that share a member, of all or of the named ones.
 
     Membership patterns are counted first: members with the same pattern collapse to one row, so a
-    pair never needs a self join on members. Without ``sets`` the distinct set names are read (at
-    most 64 of them).
+    pair never needs a self join on members.
     """
-    if sets is None:
-        names = [r[0] for r in df.select(set_key).distinct().limit(65).collect()]
-        if len(names) > 64:
-            raise ValueError("name the sets to compare: there are more than 64")
-        sets = sorted(names)
     patterns = (
-        df.where(F.col(set_key).isin(*sets))
+        (df if sets is None else df.where(F.col(set_key).isin(*sets)))
         .groupBy(member)
         .agg(F.array_sort(F.collect_set(set_key)).alias("_p"))
         .groupBy("_p")
