@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkaudit.llm.common import BASE_2, Rolling, joined, mix, runs, salt, same_keys, settle, texts_of, with_group_value
+from sparkaudit.llm.common import BASE_2, Rolling, bounded, joined, mix, runs, salt, same_keys, settle, texts_of, with_group_value
 
 LENGTH = 200
 DIGIT = 64
@@ -139,7 +139,7 @@ def _next_digit(width: int):
 
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text")).withColumn("mark", F.xxhash64("text"))
+    return bounded(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text")).withColumn("mark", F.xxhash64("text"))
 
 
 def divide(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -150,7 +150,9 @@ def divide(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = settle(rows)
     digits = rows.groupBy("digit").agg(F.count("*").alias("n"), (F.min("content") != F.max("content")).alias("mixed"))
     several = settle(digits.where("n > 1").select("digit", "mixed"))
-    alike = settle(with_group_value(rows.join(several, "digit").withColumn("s", salt("doc_id")), ["digit", "content"], "s", n=(F.count("*"), F.sum("n"))))
+    # written at once, so that nothing after it keeps adaptive execution from splitting a digit that many share
+    alike = settle(rows.join(several, "digit"))
+    alike = settle(with_group_value(alike.withColumn("s", salt("doc_id")), ["digit", "content"], "s", n=(F.count("*"), F.sum("n"))))
     whole = alike.where("open AND n > 1").select("doc_id", "mark", "first", "last")
     one = F.struct("doc_id", "mark", "place", "first", "last", (F.col("open") & (F.col("n") == 1)).alias("open"))
     others = alike.where("mixed").groupBy("digit", "content").agg(F.max_by(one, F.struct("open", "doc_id", "mark", "first")).alias("one"))
@@ -170,10 +172,10 @@ def repeated(docs: DataFrame) -> DataFrame:
     return found
 
 
-def covered(size: int, spans: list[tuple[int, int]], length: int) -> tuple[np.ndarray, int]:
+def covered(size: int, spans: list[tuple[int, int]] | np.ndarray, length: int) -> tuple[np.ndarray, int]:
     """Which of ``size`` units are in a repeat that starts in a span, and the number of maximal runs."""
     edge = np.zeros(size + 1, np.int64)
-    at = np.array(spans, np.int64).reshape(-1, 2)
+    at = np.asarray(spans, np.int64).reshape(-1, 2)
     np.add.at(edge, at[:, 0], 1)
     np.add.at(edge, np.minimum(at[:, 1] + length, size), -1)
     inside = np.cumsum(edge[:-1]) > 0
