@@ -11,8 +11,9 @@ earlier in the same document); words in repeated windows go.
    Overlapping repeats join to maximal ones.
 
 Probes are many (one for each word), so they travel packed: a task sorts the probes of a run of documents by shard and
-sends each shard one row of hashes and places. Within a run a hash is sent once; where it comes again the run
-already knows that it is repeated. A phrase in a third of all documents so reaches its shard once from each run.
+sends each shard one row of hashes, of which only the indexed blocks have places. Within a run a hash is sent once; where
+it comes again the run already knows that it is hit. A phrase in a third of all documents so reaches its shard once
+from each run.
 
 Defined results: NULL text has no words; a text of fewer than 20 words loses none; rows that repeat a doc_id and text are
 one document and get the same result; rows of one doc_id with different texts are ordered by a hash of the text; a NULL
@@ -28,16 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkaudit.llm.common import BASE_2, Rolling, bounded, joined, runs, same_keys, settle, texts_of, word_spans
+from sparkaudit.llm.common import BASE_2, Rolling, bounded, joined, mix, runs, same_keys, settle, texts_of, word_spans
 from sparkaudit.llm.suffix_dedup import covered
 
 WINDOW = 20
 #: Two blocks less one word fit into a window, so a window holds a whole block wherever it starts.
 BLOCK = 10
 #: Bytes of text in a run, about, and words of one text that a run takes at most.
-RUN = 4 << 20
+RUN = 2 << 20
 PART = 1 << 20
-PLACE_BITS = 22
 NO_ID = np.iinfo(np.int64).max
 
 ROW = "shard int, ids binary, marks binary, sizes binary, bases binary, keys binary, more binary, places binary"
@@ -61,29 +61,28 @@ class Run:
         part = np.repeat(np.arange(len(n)), n)
         return np.arange(len(part)) - np.repeat(np.cumsum(n) - n, n) + self.lows[part], part
 
-    def row(self, shard: int, keys: bytes, more: bytes, places: np.ndarray, flags: np.ndarray | int = 0) -> tuple:
+    def row(self, shard: int, keys: bytes, more: bytes, places: np.ndarray) -> tuple:
         """One packed row: the parts that its places lie in, and the places counted in these parts laid end to end."""
         part = np.searchsorted(self.lows, places, side="right") - 1
         here, nth = np.unique(part, return_inverse=True)
         sizes = self.sizes[here]
-        packed = (places - self.lows[part] + (np.cumsum(sizes) - sizes)[nth]).astype("<u4") | (np.asarray(flags, "<u4") << np.uint32(PLACE_BITS))
-        three = packed.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+        packed = (places - self.lows[part] + (np.cumsum(sizes) - sizes)[nth]).astype("<u4")  # below 2^24, see PART
+        three = packed.view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
         ids = np.diff(self.ids[here], prepend=0).astype("<i8").tobytes()  # neighbours are alike and compress
         bases = self.bases[here]
         return shard, ids, self.marks[here].astype("<i4").tobytes(), sizes.astype("<u4").tobytes(), bases.astype("<i8").tobytes() if bases.any() else b"", keys, more, three
 
 
-def unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Document, mark, position and flags of each place in a packed row."""
+def unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, mark and position of each place in a packed row."""
     ids = np.cumsum(np.frombuffer(row["ids"], "<i8"))
     marks, sizes = np.frombuffer(row["marks"], "<i4"), np.frombuffer(row["sizes"], "<u4").astype(np.int64)
     bases = np.frombuffer(row["bases"], "<i8") if row["bases"] else np.zeros(len(ids), np.int64)
     three = np.frombuffer(row["places"], np.uint8).reshape(-1, 3).astype(np.uint32)
-    packed = three[:, 0] | three[:, 1] << np.uint32(8) | three[:, 2] << np.uint32(16)
-    place = (packed & np.uint32((1 << PLACE_BITS) - 1)).astype(np.int64)
+    place = (three[:, 0] | three[:, 1] << np.uint32(8) | three[:, 2] << np.uint32(16)).astype(np.int64)
     lows = np.cumsum(sizes) - sizes
     part = np.searchsorted(lows, place, side="right") - 1
-    return ids[part], marks[part], place - lows[part] + bases[part], packed >> np.uint32(PLACE_BITS)
+    return ids[part], marks[part], place - lows[part] + bases[part]
 
 
 def runs_of(batch: pa.RecordBatch) -> Iterator[tuple[Run, list[bytes], range]]:
@@ -110,18 +109,22 @@ def runs_of(batch: pa.RecordBatch) -> Iterator[tuple[Run, list[bytes], range]]:
             yield Run(group, ids, marks)
 
 
-def by_shard(run: Run, shards: int, hashes: np.ndarray, second: np.ndarray | None, places: np.ndarray, flags: np.ndarray | int) -> Iterator[tuple]:
-    """Packed rows of entries that are sorted by hash; a shard is a range of hashes."""
+def by_shard(shards: int, *sorted_hashes: np.ndarray) -> Iterator[tuple[int, list[slice]]]:
+    """A shard is a range of hashes: its slice of each array, where there is anything in one."""
     bits = shards.bit_length() - 1
-    cuts = np.searchsorted(hashes >> np.uint64(64 - bits) if bits else np.zeros(len(hashes), np.uint64), np.arange(shards + 1, dtype=np.uint64))
+    cuts = [
+        np.searchsorted(h >> np.uint64(64 - bits) if bits else np.zeros(len(h), np.uint64), np.arange(shards + 1, dtype=np.uint64)).tolist()
+        for h in sorted_hashes
+    ]
     for shard in range(shards):
-        a, b = cuts[shard], cuts[shard + 1]
-        if a < b:
-            if second is None:  # 48 bits besides the shard's
-                keys, more = (hashes[a:b] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), (hashes[a:b] >> np.uint64(32)).astype("<u2").tobytes()
-            else:
-                keys, more = hashes[a:b].astype("<u8").tobytes(), second[a:b].astype("<u2").tobytes()
-            yield run.row(shard, keys, more, places[a:b], flags if np.isscalar(flags) else flags[a:b])
+        slices = [slice(c[shard], c[shard + 1]) for c in cuts]
+        if any(x.start < x.stop for x in slices):
+            yield shard, slices
+
+
+def _short(hashes: np.ndarray) -> tuple[bytes, bytes]:
+    """40 bits of each hash besides the shard's. As shards have about the same size for any input, this suffices for any."""
+    return (hashes & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), (hashes >> np.uint64(32)).astype("u1").tobytes()
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -136,7 +139,11 @@ def _send_back(run: Run, shards: int, places: np.ndarray) -> Iterator[tuple]:
 
 
 def probes(shards: int):
-    """Every rolling window of a block's length, marked where it is an indexed block itself."""
+    """The indexed blocks with their places, and the hashes of all other rolling windows of a block's length.
+
+    A block whose words come again in its own run is known to be hit. The others are sent with their place, to be
+    answered; a probe needs no place, because only blocks are asked for.
+    """
 
     def run_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,11 +156,16 @@ def probes(shards: int):
                 order = np.argsort(keys, kind="stable")
                 keys = keys[order]
                 begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-                several = np.diff(np.append(begin, len(keys))) > 1
-                block = np.logical_or.reduceat(indexed[order], begin)
-                rows = list(by_shard(run, shards, keys[begin], None, starts[order[begin]], several + 2 * block))
-                again = np.repeat(several, np.diff(np.append(begin, len(keys))))
-                rows += _send_back(run, shards, starts[order[again]])
+                times = np.diff(np.append(begin, len(keys)))
+                alone = np.zeros(len(begin), bool)
+                alone[times == 1] = indexed[order[begin[times == 1]]]
+                blocks, others = begin[alone], begin[~alone]
+                rows = []
+                for shard, (x, y) in by_shard(shards, keys[blocks], keys[others]):
+                    low, high = _short(np.concatenate([keys[blocks[x]], keys[others[y]]]))
+                    rows.append(run.row(shard, low, high, starts[order[blocks[x]]]))
+                again = np.repeat(times > 1, times)
+                rows += _send_back(run, shards, starts[order[again & indexed[order]]])
                 yield _batch(rows)
 
     return run_all
@@ -164,7 +176,7 @@ def windows(shards: int):
 
     def run_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hits = [np.frombuffer(b"".join(h), "<u4") for h in batch.column("hits").to_pylist()]
+            hits = [np.frombuffer(h, "<u4") for h in batch.column("positions").to_pylist()]
             for run in runs_of(batch):
                 starts, part = run.starts(WINDOW)
                 if not len(starts):
@@ -183,7 +195,8 @@ def windows(shards: int):
                 order = np.lexsort((here, run.marks[part], run.ids[part], h2, h1))
                 a, b = h1[order], h2[order]
                 new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-                rows = list(by_shard(run, shards, a[new], b[new], starts[order[new]], 0))
+                first, a, b = starts[order[new]], a[new], b[new]
+                rows = [run.row(shard, a[x].astype("<u8").tobytes(), b[x].tobytes(), first[x]) for shard, (x,) in by_shard(shards, a)]
                 # a repeat of the same place of the same document is no repeat
                 later = ~new
                 same = np.flatnonzero(later)
@@ -208,24 +221,57 @@ def _answers(ids: np.ndarray, marks: np.ndarray, positions: np.ndarray) -> pa.Re
     )
 
 
-def solve(judge):
-    """Whole shards, one after the other, to the positions that ``judge`` picks from all entries of a shard."""
+DEALT = "bucket int, ids binary, marks binary, positions binary"
+
+
+def _deal(ids: np.ndarray, marks: np.ndarray, positions: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Places packed by bucket of documents, so that a shard answers each bucket in one row."""
+    bucket = (mix(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    names, begin = np.unique(bucket[order], return_index=True)
+    columns = [(ids[order], "<i8"), (marks[order], "<i4"), (positions[order], "<u4")]
+    ends = [*begin[1:], len(order)] if len(order) else []
+    packed = [pa.array([c[a:b].astype(t).tobytes() for a, b in zip(begin, ends, strict=True)], pa.binary()) for c, t in columns]
+    return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), *packed], [c.split()[0] for c in DEALT.split(", ")])
+
+
+def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole buckets, one after the other, to one row for each document."""
+    current, kept = None, []
+
+    def close():
+        return _answers(*(np.concatenate([np.frombuffer(r[c], t) for r in kept]) for c, t in (("ids", "<i8"), ("marks", "<i4"), ("positions", "<u4"))))
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["bucket"] != current and kept:
+                yield close()
+                kept.clear()
+            current = row["bucket"]
+            kept.append(row)
+    if kept:
+        yield close()
+
+
+def solve(judge, kinds: tuple[str, str], buckets: int):
+    """Whole shards, one after the other, to the places that ``judge`` picks from all entries of a shard."""
 
     def run_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, kept = None, []
 
         def close():
             parts = [unpack(r) for r in kept]
-            columns = [np.concatenate([p[i] for p in parts]) for i in range(4)]
-            keys = np.concatenate([np.frombuffer(r["keys"], "<u8" if len(r["keys"]) == 4 * len(r["more"]) else "<u4").astype(np.uint64) for r in kept])
-            more = np.concatenate([np.frombuffer(r["more"], "<u2").astype(np.uint64) for r in kept])
-            picked = judge(keys, more, *columns)
-            return _answers(*(c[picked] for c in columns[:3]))
+            columns = [np.concatenate([p[i] for p in parts]) for i in range(3)]
+            keys, more = ([np.frombuffer(r[c], kind).astype(np.uint64) for r in kept] for c, kind in zip(("keys", "more"), kinds, strict=True))
+            # a row's keys beyond its places are probes
+            placed = np.concatenate([np.arange(len(k)) < len(p[0]) for k, p in zip(keys, parts, strict=True)])
+            picked = judge(np.concatenate(keys), np.concatenate(more), placed, *columns)
+            return _deal(*(c[picked] for c in columns), buckets)
 
         for batch in batches:
             for row in batch.to_pylist():
                 if not row["keys"]:
-                    yield _answers(*unpack(row)[:3])
+                    yield _deal(*unpack(row), buckets)
                     continue
                 if row["shard"] != current and kept:
                     yield close()
@@ -238,16 +284,19 @@ def solve(judge):
     return run_all
 
 
-def hit_blocks(keys, more, ids, marks, positions, flags):
-    """Places whose hash occurs again and is an indexed block somewhere; runs that met it twice have said so already."""
+def hit_blocks(keys, more, placed, ids, marks, positions):
+    """Blocks that a probe or another block of any run hits."""
     key = keys | more << np.uint64(32)
-    _, nth = np.unique(key, return_inverse=True)
-    times = np.bincount(nth, 1 + (flags & 1))
-    block = np.bincount(nth, flags >> 1) > 0
-    return np.flatnonzero((times > 1)[nth] & block[nth] & (flags & 1 == 0))
+    order = np.argsort(key, kind="stable")
+    key, block = key[order], placed[order]
+    same = np.zeros(len(key) + 1, bool)
+    same[1:-1] = key[1:] == key[:-1]
+    hit = (same[:-1] | same[1:]) & block
+    nth = np.cumsum(placed) - 1
+    return np.sort(nth[order[hit]])
 
 
-def not_first(keys, more, ids, marks, positions, flags):
+def not_first(keys, more, placed, ids, marks, positions):
     """All but the earliest place of equal windows."""
     order = np.lexsort((positions, marks, ids, more, keys))
     k, m = keys[order], more[order]
@@ -257,8 +306,10 @@ def not_first(keys, more, ids, marks, positions, flags):
     return order[~same]
 
 
-def _exchange(packed: DataFrame, judge) -> DataFrame:
-    return settle(packed.repartition("shard").sortWithinPartitions("shard").mapInArrow(solve(judge), "doc_id bigint, mark int, positions binary"))
+def _exchange(packed: DataFrame, judge, kinds: tuple[str, str], shards: int) -> DataFrame:
+    """(doc_id, mark, positions), one row for each document that has any."""
+    answered = packed.repartition("shard").sortWithinPartitions("shard").mapInArrow(solve(judge, kinds, shards), DEALT)
+    return settle(answered.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merge, "doc_id bigint, mark int, positions binary"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -266,26 +317,22 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return bounded(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text")).withColumn("mark", F.hash("text"))
 
 
-def _by_document(found: DataFrame, name: str) -> DataFrame:
-    return found.groupBy("doc_id", "mark").agg(F.collect_list("positions").alias(name))
-
-
 def repeated(docs: DataFrame) -> DataFrame:
     """(doc_id, mark, positions): where windows start that were there before, as packed 32-bit numbers."""
     rows = _keyed(docs)
     # as many shards as the session's shuffles have partitions, which are to be set by the size of the data
     shards = 1 << (int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
-    hits = _exchange(rows.mapInArrow(probes(shards), ROW), hit_blocks)
-    asked = same_keys(rows, _by_document(hits, "hits"), ["doc_id", "mark"])
-    return _exchange(asked.mapInArrow(windows(shards), ROW), not_first)
+    hits = _exchange(rows.mapInArrow(probes(shards), ROW), hit_blocks, ("<u4", "u1"), shards)
+    asked = same_keys(rows, hits, ["doc_id", "mark"])
+    return _exchange(asked.mapInArrow(windows(shards), ROW), not_first, ("<u8", "<u2"), shards)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         total, removed, kept = [], [], []
-        for text, found in zip(texts_of(batch), batch.column("found").to_pylist(), strict=True):
+        for text, found in zip(texts_of(batch), batch.column("positions").to_pylist(), strict=True):
             words = text.split()
-            at = np.frombuffer(b"".join(found or ()), "<u4").astype(np.int64)
+            at = np.frombuffer(found or b"", "<u4").astype(np.int64)
             inside, _ = covered(len(words), np.stack([at, at], 1), WINDOW)
             total.append(len(words))
             removed.append(int(inside.sum()))
@@ -295,8 +342,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept), one row per row of ``docs``; ``kept`` holds the words that stay, joined by one space."""
-    found = _by_document(repeated(docs), "found")
-    return same_keys(_keyed(docs), found, ["doc_id", "mark"], "left").select("doc_id", "text", "found").mapInArrow(
+    return same_keys(_keyed(docs), repeated(docs), ["doc_id", "mark"], "left").select("doc_id", "text", "positions").mapInArrow(
         _cut, "doc_id bigint, n_words bigint, n_removed bigint, kept binary"
     )
 
