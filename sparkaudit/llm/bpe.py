@@ -18,6 +18,7 @@ Defined results: NULL text counts as empty and has no tokens; very long texts an
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -194,31 +195,39 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], pattern: str, ids: str =
 
 
 def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256), one row per row of ``docs`` (doc_id, text)."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256), one row per row of ``docs`` (doc_id, text).
+
+    Both ways in one Python worker: chained stages would keep a worker each beside every task.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(ranks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = Tokenizer(sent.value, pattern)
+        for batch in batches:
+            ids = [tokenizer.encode(t or "") for t in batch.column("text").to_pylist()]
+            back = [hashlib.sha256(tokenizer.decode(b)).hexdigest() for b in ids]
+            columns = [pa.array([len(b) // 4 for b in ids], pa.int64()), pa.array([hashlib.sha256(b).hexdigest() for b in ids], pa.string()), pa.array(back, pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ids = encode(rows, ranks, pattern).select("doc_id", "__ids")
-    return decode(ids, ranks, pattern).select(
-        "doc_id",
-        (F.octet_length("__ids") / 4).cast("bigint").alias("n_tokens"),
-        F.sha2("__ids", 256).alias("ids_sha256"),
-        F.sha2("__bytes", 256).alias("decoded_sha256"),
-    )
+    return bounded(rows).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def tokenised(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """``docs`` with its text replaced by n_tokens, token_ids and decoded_sha256, the digest of what the ids decode to."""
-    out = decode(encode(docs, ranks, pattern), ranks, pattern)
+    sent = docs.sparkSession.sparkContext.broadcast(ranks)
+    made = {"n_tokens": T.LongType(), "decoded_sha256": T.StringType(), "token_ids": T.ArrayType(T.IntegerType())}
+    kept = [c for c in docs.columns if c != "text" and c not in made]
 
-    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = Tokenizer(sent.value, pattern)
         for batch in batches:
-            ids = batch.column("__ids").to_pylist()
-            offsets = np.concatenate([[0], np.cumsum([len(b) // 4 for b in ids])]).astype(np.int32)
-            values = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
-            column = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
-            kept = [c for c in batch.schema.names if c != "__ids"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], column], [*kept, "token_ids"])
-
-    kept = [c for c in docs.columns if c not in ("text", "token_ids", "n_tokens", "decoded_sha256")]
-    checked = out.select(*kept, F.sha2("__bytes", 256).alias("decoded_sha256"), (F.octet_length("__ids") / 4).cast("bigint").alias("n_tokens"), "__ids")
-    fields = [f for f in checked.schema.fields if f.name != "__ids"]
-    return checked.mapInArrow(lists, T.StructType([*fields, T.StructField("token_ids", T.ArrayType(T.IntegerType()))]))
+            ids = [tokenizer.encode(t or "") for t in batch.column("text").to_pylist()]
+            size = [len(b) // 4 for b in ids]
+            back = pa.array([hashlib.sha256(tokenizer.decode(b)).hexdigest() for b in ids], pa.string())
+            offsets = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
+            lists = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(size, pa.int64()), back, lists], [*kept, *made])
+
+    fields = [docs.schema[c] for c in kept] + [T.StructField(name, kind) for name, kind in made.items()]
+    return bounded(docs).mapInArrow(run, T.StructType(fields))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
@@ -20,7 +22,7 @@ BASE = 0x9E3779B97F4A7C15
 BASE_2 = 0xC2B2AE3D27D4EB4F
 
 #: Rows of text are hashed in runs of about this many bytes, which bounds the arrays of a task.
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 18
 
 
 #: Bytes of a batch that goes to Python, unless the session sets its own bound. The default has none, and long texts add up.
@@ -76,7 +78,10 @@ def mix(h: np.ndarray) -> np.ndarray:
 def settle(df: DataFrame) -> DataFrame:
     """Write a finished step to the shared folder and let go of the shuffle files that it came from."""
     out = cut_lineage(df)
-    df.sparkSession.sparkContext._jvm.System.gc()
+    gc.collect()
+    df.sparkSession.range(1).count()  # the session holds the plan of its last execution
+    time.sleep(0.5)
+    df.sparkSession.sparkContext._jvm.System.gc()  # Spark drops shuffle files when nothing refers to them any more
     return out
 
 
@@ -123,6 +128,16 @@ def word_spans(data: np.ndarray, doc_ends: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(doc_ends, starts, side="right")
 
 
+def first_by_hash(df: DataFrame, order: Column, total: int, most: int) -> DataFrame:
+    """The first ``most`` of ``total`` rows in the order of a 64-bit hash.
+
+    Rows far behind are left out before the sort, so that all tasks together keep little more than ``most``.
+    """
+    share = (most + 6 * most**0.5 + 10) / max(1, total)
+    near = df if share >= 1 else df.where(order < int(-(2**63) + share * 2**64))
+    return near.orderBy(order, *df.columns).limit(most)
+
+
 def joined(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Texts laid end to end as one array of bytes, and where each ends."""
     data = np.frombuffer(b"".join(texts), np.uint8)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkaudit.llm.common import salt, same_keys, texts_of
+from sparkaudit.llm.common import bounded, salt, same_keys, texts_of
 
 SLOTS = 4
 MOST_KICKS = 200
@@ -150,7 +150,7 @@ def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def exact_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256), one row per row of ``docs`` (doc_id, text)."""
     rows = (
-        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        bounded(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
         .mapInArrow(_digests, "doc_id bigint, digest binary")
         .withColumn("part", salt("doc_id"))
     )

@@ -25,10 +25,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkaudit.llm.common import Rolling, joined, mix, runs, texts_of, word_spans
+from sparkaudit.llm.common import Rolling, bounded, first_by_hash, joined, mix, runs, texts_of, word_spans
 
 DIMENSION_BITS = 18
-SAMPLE = 4_000
+SAMPLE = 3_000
 THRESHOLD = 0.7
 #: Follow-the-regularised-leader: learning rate, its offset, and the two penalties.
 ALPHA, OFFSET, L1, L2 = 0.3, 1.0, 1e-4, 1e-4
@@ -147,11 +147,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
         share = min(max(float(next(iter(found), 0.5)), 1e-6), 1 - 1e-6)
         return np.zeros(1 << DIMENSION_BITS), float(np.log(share / (1 - share)))
     order = (F.xxhash64(F.lit("quality"), "doc_id"), "doc_id")
-    picked = [here.where(F.col("label") == k).orderBy(*order).limit(sample) for k in (0, 1)]
+    picked = [first_by_hash(here.where(F.col("label") == k), order[0], found[k], sample) for k in (0, 1)]
     weight = {k: found[k] / sum(found.values()) / min(found[k], sample) * sum(min(n, sample) for n in found.values()) for k in found}
     # at most 2 * sample narrow rows
     chosen = F.broadcast(picked[0].union(picked[1]))
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(chosen, "doc_id").select("doc_id", "label", "text")
+    texts = bounded(docs).select("doc_id", F.col("text").cast("string").alias("text")).join(chosen, "doc_id").select("doc_id", "label", "text")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,7 +189,7 @@ def scores(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
             out = 1 / (1 + np.exp(-dot(texts_of(batch), sent.value, bias)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*columns, "__score"])
 
-    return docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())]))
+    return bounded(docs).mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

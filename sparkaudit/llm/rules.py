@@ -6,7 +6,7 @@ good text; then trailing conditions are pruned while that does not lower its val
 precision on the pruning part is at least ``PRECISION``; the texts that it covers go, and the next rule is grown. ``verdict``
 turns the list into one ordered conditional expression of Spark, in which the first rule that holds decides.
 
-Learning takes at most ``SAMPLE`` labelled rows of statistics (numbers only, the first in an order by hash) to the driver;
+Learning takes at most ``SAMPLE`` labelled rows of statistics (numbers only, the labels that are first in an order by hash) to the driver;
 labels with crc32(doc_id) mod 4 = 2 are left for tests.
 
 Defined results: a NULL text has no words and fails the base check, as any text of fewer than 10 words does; without labels of
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkaudit.llm.common import texts_of
+from sparkaudit.llm.common import bounded, first_by_hash, texts_of
 
 SAMPLE = 20_000
 PRECISION = 0.95
@@ -98,7 +98,7 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def statistics(docs: DataFrame) -> DataFrame:
     """(doc_id, the counts), one row per row of ``docs`` (doc_id, text)."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = bounded(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_statistics, "doc_id bigint, " + ", ".join(f"{c} bigint" for c in COUNTS))
 
 
@@ -184,7 +184,11 @@ def learn(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rul
         .groupBy("doc_id")
         .agg((F.avg("quality") < 0.5).alias("bad"))
     )
-    rows = stats.join(usable, "doc_id").where(~base_failed()).orderBy(F.xxhash64(F.lit("rules"), "doc_id"), "doc_id", *COUNTS).limit(sample).toPandas()
+    order = F.xxhash64(F.lit("rules"), "doc_id")
+    chosen = first_by_hash(usable, order, usable.count(), sample)
+    found = stats.join(F.broadcast(chosen), "doc_id").where(~base_failed())
+    one = found.groupBy("doc_id").agg(F.min(F.struct(*COUNTS, "bad")).alias("row"))  # of rows with one doc_id the least
+    rows = one.select("doc_id", "row.*").orderBy(order, "doc_id").toPandas()
     bad = rows["bad"].to_numpy(bool)
     if not bad.any() or bad.all():
         return []

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkaudit.llm.common import connected, salt, same_keys, texts_of, with_group_value
+from sparkaudit.llm.common import bounded, connected, first_by_hash, salt, same_keys, texts_of, with_group_value
 from sparkaudit.session import cut_lineage
 
 BITS = 4
@@ -72,7 +72,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp): fp holds the 64 bits as a signed number. A bit is 1 if it is set in over half the shingles' XXH64."""
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
+    return bounded(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         _fingerprints, "doc_id bigint, fp bigint"
     )
 
@@ -214,8 +214,8 @@ def link_edges(distinct: DataFrame, shard_size: int = SHARD) -> DataFrame:
     total = distinct.count()
     levels = max(0, math.ceil(math.log2(max(1, total) / shard_size)))
     want = min(SAMPLE, 64 * 2**levels)
-    # bounded by SAMPLE rows: the first in an order by hash
-    rows = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(want).collect() if levels else []
+    # bounded by SAMPLE rows
+    rows = first_by_hash(distinct.select("fp"), F.xxhash64("fp"), total, want).collect() if levels else []
     sample = np.array([r["fp"] for r in rows], np.int64).view(np.uint64)
     trees = [shared_levels(sample, mask, levels) for mask in BLOCKS]
 
