@@ -221,17 +221,21 @@ def _answers(ids: np.ndarray, marks: np.ndarray, positions: np.ndarray) -> pa.Re
     )
 
 
-DEALT = "bucket int, ids binary, marks binary, positions binary"
+DEALT = "bucket int, ids binary, marks binary, counts binary, positions binary"
 
 
 def _deal(ids: np.ndarray, marks: np.ndarray, positions: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """Places packed by bucket of documents, so that a shard answers each bucket in one row."""
+    """Places packed by bucket of documents, each document named once, so that a shard answers each bucket in one row."""
     bucket = (mix(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    names, begin = np.unique(bucket[order], return_index=True)
-    columns = [(ids[order], "<i8"), (marks[order], "<i4"), (positions[order], "<u4")]
-    ends = [*begin[1:], len(order)] if len(order) else []
-    packed = [pa.array([c[a:b].astype(t).tobytes() for a, b in zip(begin, ends, strict=True)], pa.binary()) for c, t in columns]
+    order = np.lexsort((positions, marks, ids, bucket))
+    bucket, ids, marks, positions = bucket[order], ids[order], marks[order], positions[order].astype("<u4")
+    docs = np.flatnonzero(np.concatenate([[len(ids) > 0], (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1])])) if len(ids) else np.empty(0, np.int64)
+    counts = np.diff(np.append(docs, len(ids)))
+    names, begin = np.unique(bucket, return_index=True)
+    cut = np.append(begin, len(ids))
+    at = np.searchsorted(docs, cut)
+    columns = [(ids[docs], "<i8", at), (marks[docs], "<i4", at), (counts, "<u4", at), (positions, "<u4", cut)]
+    packed = [pa.array([c[x:y].astype(t).tobytes() for x, y in zip(e[:-1], e[1:], strict=True)], pa.binary()) for c, t, e in columns]
     return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), *packed], [c.split()[0] for c in DEALT.split(", ")])
 
 
@@ -240,7 +244,10 @@ def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     current, kept = None, []
 
     def close():
-        return _answers(*(np.concatenate([np.frombuffer(r[c], t) for r in kept]) for c, t in (("ids", "<i8"), ("marks", "<i4"), ("positions", "<u4"))))
+        ids, marks, counts, positions = (
+            np.concatenate([np.frombuffer(r[c], t) for r in kept]) for c, t in (("ids", "<i8"), ("marks", "<i4"), ("counts", "<u4"), ("positions", "<u4"))
+        )
+        return _answers(np.repeat(ids, counts), np.repeat(marks, counts), positions)
 
     for batch in batches:
         for row in batch.to_pylist():
