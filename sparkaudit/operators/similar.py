@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkaudit.functions.text import lower_words
+from sparkaudit.operators.ordered import prefix_sums
 from sparkaudit.session import cut_lineage, evaluate_once
 
 SHINGLE = 5
@@ -47,13 +48,41 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("rep_id"), pa.array([list(x) for x in out], pa.list_(pa.int64()))], ["rep_id", "bands"])
 
 
+def _smallest_matches(ranked: DataFrame, reps: DataFrame, min_ratio: float) -> DataFrame:
+    """(rep_id, lead, ratio): the smallest match of each member of ``ranked`` (band, rep_id, place) among those before it."""
+    a = reps.select("rep_id", F.col("shingles").alias("_a"))
+    b = reps.select(F.col("rep_id").alias("lead"), F.col("shingles").alias("_b"))
+    both = F.size(F.array_intersect("_a", "_b"))
+    ratio = F.col("_i") / (F.col("_s") - F.col("_i"))
+    asking = ranked.withColumn("found", F.lit(None).cast("bigint"))
+    best, low, high = None, 0, 1
+    while True:
+        leads = ranked.where((F.col("place") >= low) & (F.col("place") < high)).select("band", F.col("rep_id").alias("lead"))
+        open_pairs = (F.col("lead") < F.col("rep_id")) & (F.col("found").isNull() | (F.col("lead") < F.col("found")))
+        pairs = asking.join(leads, "band").where(open_pairs).select("rep_id", "lead").distinct()
+        scored = pairs.join(a, "rep_id").join(b, "lead").select("rep_id", "lead", both.alias("_i"), (F.size("_a") + F.size("_b")).alias("_s"))
+        found = scored.withColumn("ratio", ratio).where(F.col("ratio") >= min_ratio).select("rep_id", "lead", "ratio")
+        found = found if best is None else found.unionByName(best)
+        best = cut_lineage(found.groupBy("rep_id").agg(F.min(F.struct("lead", "ratio")).alias("_m")).select("rep_id", "_m.*"))
+        # who has more before it in the band, and no match at or below the next of these
+        following = ranked.where(F.col("place") == high).select("band", F.col("rep_id").alias("_next"))
+        more = asking.drop("found").where(F.col("place") > high).join(following, "band")
+        more = more.join(best.select("rep_id", F.col("lead").alias("found")), "rep_id", "left").where("found IS NULL OR _next < found")
+        asking = cut_lineage(more.select("band", "rep_id", "place", "found"))
+        if asking.isEmpty():
+            return best
+        low, high = high, high * 4
+
+
 def near_duplicates(docs: DataFrame, min_ratio: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, rep_id, similar_to, ratio), one row per document.
 
     ``rep_id`` is the smallest document with the same set of shingles. ``similar_to`` is the smallest other representative
-    below it whose set's Jaccard ratio is at least ``min_ratio``, among those that lead one of its bands. Each member of a
-    band is compared with the band's smallest one only, so a band of any size gives as many comparisons as it has
-    members; a pair at 0.8 meets in some band with a chance above 0.9999. Texts without words are never similar.
+    below it whose set's Jaccard ratio is at least ``min_ratio``, among those that share one of its bands; a pair at 0.8
+    shares one with a chance above 0.9999. A band's members are compared with its smallest, then those that still lack a
+    match with the next, in rounds of four times as many, until each has its smallest match or was compared with all
+    before it. A band of copies thus gives about as many comparisons as it has members; one whose members match nobody
+    gives all its pairs. Texts without words are never similar.
     """
     rows = evaluate_once(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), shingles=shingle_set(F.coalesce("_text", F.lit(""))))
     rows = rows.select("doc_id", F.array_sort("shingles").alias("shingles")).withColumn("same", F.sha2(F.array_join("shingles", ","), 256))
@@ -61,13 +90,7 @@ def near_duplicates(docs: DataFrame, min_ratio: float = 0.8, doc_id: str = "doc_
     members = rows.groupBy("same").agg(F.min("doc_id").alias("rep_id"))
     reps = cut_lineage(rows.join(members, (rows.same == members.same) & (rows.doc_id == members.rep_id)).where(F.size("shingles") > 0).select("rep_id", "shingles").dropDuplicates(["rep_id"]))
     bands = cut_lineage(reps.mapInArrow(_signatures, "rep_id bigint, bands array<bigint>").select("rep_id", F.explode("bands").alias("band")))
-    leads = bands.groupBy("band").agg(F.min("rep_id").alias("lead"), F.count("*").alias("n")).where("n > 1").select("band", "lead")
-    pairs = bands.join(cut_lineage(leads), "band").where("rep_id <> lead").select("rep_id", "lead").distinct()
-    a = reps.select("rep_id", F.col("shingles").alias("_a"))
-    b = reps.select(F.col("rep_id").alias("lead"), F.col("shingles").alias("_b"))
-    both = F.size(F.array_intersect("_a", "_b"))
-    scored = pairs.join(a, "rep_id").join(b, "lead").select("rep_id", "lead", both.alias("_i"), (F.size("_a") + F.size("_b")).alias("_s"))
-    ratio = F.col("_i") / (F.col("_s") - F.col("_i"))
-    best = scored.withColumn("ratio", ratio).where(F.col("ratio") >= min_ratio).groupBy("rep_id").agg(F.min(F.struct("lead", "ratio")).alias("_b"))
-    named = members.join(best, "rep_id", "left").select("same", "rep_id", F.col("_b.lead").alias("similar_to"), F.col("_b.ratio").alias("ratio"))
+    ranked = prefix_sums(bands, ["band"], "rep_id", {"n": F.lit(1)}).where("n_total > 1").select("band", "rep_id", F.col("n_before").alias("place"))
+    best = _smallest_matches(cut_lineage(ranked), reps, min_ratio)
+    named = members.join(best, "rep_id", "left").select("same", "rep_id", F.col("lead").alias("similar_to"), "ratio")
     return rows.select("doc_id", "same").join(cut_lineage(named), "same").select("doc_id", "rep_id", "similar_to", "ratio")
