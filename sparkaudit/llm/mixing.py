@@ -5,7 +5,9 @@ cannot take is shared anew by weight. A source's rate is its target over its wor
 floor(rate) times for certain, and the rest of the target is a fixed-size sample. For it documents are ranked by the Pareto
 statistic u / (1 - u) over p / (1 - p), u being a reproducible draw and p / (1 - p) the inclusion odds (the fractional part
 of the rate; ``odds`` multiplies them by document), and taken in that order while their words fit. One last document, of
-those that were not taken the one whose size is nearest to the gap, closes it if that brings the sum nearer.
+those that were not taken the one whose size is nearest to the gap, closes it if that brings the sum nearer. That is what
+the SQL has, and ``mix``. ``mixed`` closes only if that leaves less than the smallest of them. Where a document too large for the rest ended the order early, so that the gap still holds
+others, the order is gone on with instead, skipping what does not fit, until no document that is left fits.
 
 Nothing orders a whole source: ranks fall into 65,536 steps, words are summed by (source, step), and only the documents
 of the one step in which the target is reached are ordered among each other. Tables with a row for each source are
@@ -55,8 +57,11 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     return filled.select("source", "source_size", F.least(limit.cast("double"), F.coalesce(filled_to, F.lit(0.0)) * F.col("weight")).alias("target"))
 
 
-def copies(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, odds: Column | None = None) -> DataFrame:
-    """``sized`` (doc_id, source, size) with source_size, target and ``copies``, how often the mix takes the document."""
+def copies(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, odds: Column | None = None, go_on: bool = False) -> DataFrame:
+    """``sized`` (doc_id, source, size) with source_size, target and ``copies``, how often the mix takes the document.
+
+    ``go_on``: past a document that does not fit, until none that is left fits.
+    """
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     shares = cut_lineage(
         targets(sized, weights)
@@ -94,13 +99,66 @@ def copies(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, odds: Column |
     closing = (
         marked.where("NOT chosen AND p > 0 AND size > 0")
         .groupBy("source")
-        .agg(F.min(F.struct(F.abs(F.col("size") - gap).alias("off"), "at")).alias("best"), F.first(gap).alias("gap"))
-        .where("best.off < gap")
+        .agg(F.min(F.struct(F.abs(F.col("size") - gap).alias("off"), "at")).alias("best"), F.first(gap).alias("gap"), F.min("size").alias("least"))
+        .where("best.off < gap AND best.off < least" if go_on else "best.off < gap")
     )
     closing = cut_lineage(closing.select("source", F.col("best.at").alias("closes")))
-    result = same_keys(marked, closing, ["source"], "left")
-    one_more = F.col("chosen") | F.coalesce(F.col("at") == F.col("closes"), F.lit(False))
-    return result.select("doc_id", "source", "size", "source_size", "target", (F.col("certain") + one_more.cast("bigint")).cast("bigint").alias("copies"))
+    closed = same_keys(marked, closing, ["source"], "left")
+    once = closed.withColumn("chosen", F.col("chosen") | F.coalesce(F.col("at") == F.col("closes"), F.lit(False)))
+    once = once.drop("border", "last", "taken", "closes")
+    later = _further(once.where("p > 0 AND size > 0")) if go_on else None
+    if later is not None:
+        once = same_keys(once, later, ["source"], "left")
+        once = once.withColumn("chosen", F.col("chosen") | ((F.col("p") > 0) & (F.col("size") > 0) & F.coalesce(_taken_in(F.col("turns")), F.lit(False))))
+    return once.select("doc_id", "source", "size", "source_size", "target", (F.col("certain") + F.col("chosen").cast("bigint")).cast("bigint").alias("copies"))
+
+
+def _taken_in(turns: Column) -> Column:
+    """Whether one of the turns (gap, after, last) takes the row: it lies in that part of the order and fits."""
+    inside = lambda t: (F.col("size") <= t["gap"]) & (t["after"].isNull() | (F.col("at") > t["after"])) & (F.col("at") <= t["last"])
+    return F.exists(turns, inside)
+
+
+def _further(rows: DataFrame) -> DataFrame | None:
+    """(source, turns) of the sources whose gap still holds a document; None if there is none.
+
+    A turn goes down the order over the documents that are not larger than the gap, to the first whose words do not fit any more;
+    the next turn goes on after that one with what the gap then is. Rows alike in ``at`` are taken together or not at all.
+    """
+    gaps = rows.groupBy("source").agg((F.first("left") - F.coalesce(F.sum(F.when(F.col("chosen"), F.col("size"))), F.lit(0))).alias("gap"), F.min(F.when(~F.col("chosen"), F.col("size"))).alias("least"))
+    state = cut_lineage(gaps.where("least <= gap").select("source", "gap"))
+    if state.isEmpty():
+        return None
+    rows = cut_lineage(same_keys(rows.where("NOT chosen"), state, ["source"]).where("size <= gap").select("source", "step", "at", "size"))
+    at, gap = rows.schema["at"].dataType.simpleString(), state.schema["gap"].dataType.simpleString()
+    none = F.lit(None).cast(at)
+    state = state.withColumn("after", none).withColumn("turns", F.array().cast(f"array<struct<gap:{gap},after:{at},last:{at}>>"))
+    finished = None
+    while True:
+        rest = same_keys(rows, state.select("source", "gap", "after"), ["source"]).where("size <= gap AND (after IS NULL OR at > after)")
+        by_step = rest.groupBy("source", "step").agg(F.sum("size").alias("words"), F.max("at").alias("end"), F.first("gap").alias("gap"))
+        upto = Window.partitionBy("source").orderBy("step")
+        sums = by_step.withColumn("upto", F.sum("words").over(upto)).withColumn("before", F.col("upto") - F.col("words"))
+        sums = cut_lineage(sums.where("before <= gap"))
+        border = sums.where("upto > gap").select("source", "step", "before")
+        units = same_keys(rest, border, ["source", "step"]).groupBy("source", "at").agg(F.sum("size").alias("words"), F.first("before").alias("before"), F.first("gap").alias("gap"))
+        running = Window.partitionBy("source").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        units = units.withColumn("upto", F.col("before") + F.sum("words").over(running)).select("source", "at", "upto", "gap")
+        whole = sums.where("upto <= gap").select("source", F.col("end").alias("at"), "upto", "gap")
+        fits = F.col("upto") <= F.col("gap")
+        turn = units.unionByName(whole).groupBy("source").agg(
+            F.max(F.when(fits, F.col("at"))).alias("last"), F.max(F.when(fits, F.col("upto"))).alias("used"), F.min(F.when(~fits, F.col("at"))).alias("stop")
+        )
+        known = same_keys(state, turn, ["source"], "left")
+        taken = F.when(F.col("last").isNotNull(), F.array(F.struct("gap", "after", "last"))).otherwise(F.array().cast(f"array<struct<gap:{gap},after:{at},last:{at}>>"))
+        state = cut_lineage(
+            known.select("source", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap"), F.col("stop").alias("after"), F.concat("turns", taken).alias("turns"))
+        )
+        ended = state.where("after IS NULL").select("source", "turns")
+        finished = ended if finished is None else finished.unionByName(ended)
+        state = state.where("after IS NOT NULL")
+        if state.isEmpty():
+            return cut_lineage(finished)
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -110,7 +168,7 @@ def mix(docs: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame) -> DataFrame:
     """``docs`` as the mix takes them: each row as many times as it is taken. All columns stay."""
-    often = copies(cut_lineage(sizes(docs)))
+    often = copies(cut_lineage(sizes(docs)), go_on=True)
     key = [F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("copies").alias("__copies")]
     often = often.where("copies > 0").select(*key).distinct()
     size = F.coalesce(F.regexp_count(docs["text"].cast("string"), F.lit(WORD)), F.lit(0)).cast("bigint")

@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from sparkaudit.llm import mixing
 
@@ -63,3 +64,20 @@ def test_mixed_repeats_rows(documents, prose):
 def test_empty(documents):
     assert mixing.mix(documents([])).count() == 0
     assert {r.target for r in mixing.mix(documents([(1, ""), (2, None)])).collect()} == {0.0}
+
+
+def test_a_document_larger_than_the_gap(spark):
+    """One document larger than all that is left, first in the order: the short ones still fill the target."""
+    for long, others in ((40_000, 13_000), (30_000, 11_000)):  # over and under twice the gap
+        rows = [(i, "a", "w " * 100) for i in range(300)] + [(1000, "a", "w " * long), (5000, "b", "w " * others), (5001, None, "w " * others)]
+        rows += [(6000 + i, "a", "w " * (7 + i)) for i in range(5)]
+        sized = spark.createDataFrame([(i, s, len(t.split())) for i, s, t in rows], "doc_id bigint, source string, size bigint")
+        ahead = F.when(F.col("size") == long, 1e9).when(F.col("size") < 100, 1e-9).otherwise(1.0)
+        got = [r for r in mixing.copies(sized, odds=ahead, go_on=True).collect() if r.source == "a"]
+        certain = int(got[0].target / got[0].source_size)
+        gap = got[0].target - sum(r.copies * r["size"] for r in got)
+        assert sum(r["size"] for r in got) == got[0].source_size and len(got) == 306
+        assert all(r.copies in (certain, certain + 1) for r in got)
+        # no document that is left fits into the gap
+        assert gap < min(r["size"] for r in got if r.copies == certain), (gap, got[0].target)
+        assert abs(gap) <= 100 and got[0].target < long
