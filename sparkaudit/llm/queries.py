@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkaudit.llm import block_dedup, bpe, chat, exact_dedup, mixing, quality, rules, secrets, simhash, suffix_dedup
+from sparkaudit.llm import block_dedup, bpe, chat, exact_dedup, mixing, quality, rules, secrets, simhash, suffix_dedup, whitening
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -106,3 +106,8 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     transcripts = chat.as_transcripts(turns)
     model = chat.learn(transcripts.where(F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4 != 2))
     return chat.recover(transcripts.drop("role"), model).select("conv_id", "turn", "role", "states", "rendered")
+
+
+@query("op12_whitening")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{folder.rstrip('/')}/embeddings.parquet"))
