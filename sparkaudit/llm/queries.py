@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkaudit.llm import block_dedup, bpe, chat, exact_dedup, mixing, quality, rules, secrets, simhash, suffix_dedup, whitening
+from sparkaudit.llm import block_dedup, bpe, chat, exact_dedup, mixing, phrases, quality, rules, secrets, simhash, suffix_dedup, whitening
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -111,3 +111,8 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 @query("op12_whitening")
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(spark.read.parquet(f"{folder.rstrip('/')}/embeddings.parquet"))
+
+
+@query("op11_collocations", phrases.SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(documents(spark, folder))
