@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkaudit.llm import block_dedup, bpe, chat, exact_dedup, mixing, phrases, quality, rules, secrets, simhash, suffix_dedup, whitening
+from sparkaudit.llm import block_dedup, bpe, chat, exact_dedup, jaccard, mixing, phrases, quality, rules, secrets, simhash, suffix_dedup, whitening
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -116,3 +116,8 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
 @query("op11_collocations", phrases.SQL)
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     return phrases.collocations(documents(spark, folder))
+
+
+@query("op13_jaccard_join", jaccard.SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.linked(documents(spark, folder))
