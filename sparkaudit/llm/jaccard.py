@@ -11,9 +11,9 @@ Two documents link when 100 * common >= 80 * union, so a partner of a set of s s
 4. Products. Rows meet in blocks and their overlaps are added up slab by slab of columns; a pair is dropped as soon as its
    count and what is left of the shorter row cannot reach the bound that follows from the two sizes. First each row goes to
    the block of one column that similar rows choose alike, cut into parts of bounded size: this joins most of a large group
-   of near copies at once, however many there are, at a cost linear in them. Then each column whose rows are still in several
-   components is multiplied as rectangles, the rows outside its largest component by all, so that no link between
-   components is missed. Links inside a component are not needed and not listed.
+   of near copies at once, however many there are, at a cost linear in them. Then, for each column whose rows are still in several
+   components, the rows outside its largest one are multiplied by all of its rows, in rectangles, so that no link between
+   components is missed. Columns whose rows have all met already are left out. Links inside a component are not needed and not listed.
 
 Columns with very many rows are found on a sample and ordered last, as all that matters is that both rows of a pair use one
 order; they are not counted, so no task holds one. What is a set's own, its size and its node, is exact at 64-bit hashes:
@@ -36,11 +36,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from sparkaudit.llm.common import bounded, connected, runs, salt, same_keys, texts_of, with_group_value
+from sparkaudit.llm.common import bounded, connected, mix, runs, salt, same_keys, texts_of, with_group_value
 from sparkaudit.session import cut_lineage
 
 WORDS = 5
 PER_CENT = 80
+#: Lower case and one kind of space. Lines part texts, so a text has none.
+NORMAL = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz     ")
 #: Bytes of a text that are split at once, and entries of a shard, about.
 PART = 1 << 20
 SHARD = 1 << 20
@@ -59,25 +61,60 @@ MANY = (1 << 31) - 1
 # --- sets ------------------------------------------------------------------------------------
 
 
+def words_of(run: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for each word of a run, in order, and the words that each of its lines has. Different words are hashed once."""
+    tokens = pc.split_pattern(pa.array([run.replace(b"\n", b" \n ")], pa.large_binary()), b" ").values.dictionary_encode()
+    words, ids = tokens.dictionary.to_pylist(), tokens.indices.to_numpy()
+    named = {w: i for i, w in enumerate(words) if w in (b"", b"\n")}
+    ids = ids[ids != named.get(b"", -1)]
+    ends = np.flatnonzero(ids == named.get(b"\n", -1))
+    hashes = np.array([xxh64_intdigest(w) for w in words], np.uint64)
+    counts = np.diff(np.concatenate([[-1], ends, [len(ids)]])) - 1
+    return hashes[ids[ids != named.get(b"\n", -1)]], counts
+
+
+def chain(words: np.ndarray, size: int) -> np.ndarray:
+    """The hash of each run of ``size`` words. Each word passes a mixer before the next one joins, so no pattern cancels."""
+    n = len(words) - size + 1
+    out = np.full(n, size, np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(size):
+            out = mix(out * np.uint64(0x9E3779B97F4A7C15) + words[i : i + n])
+    return out
+
+
 def shingles(text: bytes, size: int = WORDS) -> np.ndarray:
     """Sorted distinct hashes of the runs of ``size`` words; a shorter text is one run, one without words none."""
-    found, carried, low = [], [], 0
+    found, carried, low = [], np.zeros(0, np.uint64), 0
     while low < len(text):
         high = min(len(text), low + PART)
         while high < len(text) and text[high : high + 1] not in b" \t\n\x0b\x0c\r":
             high += 1
-        words = carried + text[low:high].lower().split()
-        line = b" ".join(words)
-        ends = np.cumsum([len(w) + 1 for w in words]).tolist()
-        starts = [0, *ends]
+        words = np.concatenate([carried, words_of(text[low:high].translate(NORMAL))[0]])
         if len(words) >= size:
-            found.append(np.array([xxh64_intdigest(line[starts[i] : ends[i + size - 1] - 1]) for i in range(len(words) - size + 1)], np.uint64))
-        carried, low = words[-(size - 1) :] if size > 1 else [], high
-    if not found and carried:
-        found.append(np.array([xxh64_intdigest(b" ".join(carried))], np.uint64))
+            found.append(np.unique(chain(words, size)))
+        carried, low = words[-(size - 1) :] if size > 1 else words[:0], high
+    if not found and len(carried):
+        found.append(chain(carried, len(carried)))
     return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
 
 
+def sets_in(texts: list[bytes], size: int) -> list[np.ndarray]:
+    """``shingles`` of each text, with the words of many texts numbered together."""
+    out = []
+    for i, j in runs([len(t) for t in texts], PART):
+        if j - i == 1:
+            out.append(shingles(texts[i], size))
+            continue
+        words, counts = words_of(b"\n".join(t.translate(NORMAL) for t in texts[i:j]))
+        every = chain(words, size) if len(words) >= size else words[:0]
+        low = 0
+        for n in counts.tolist():
+            out.append(np.unique(every[low : low + n - size + 1]) if n >= size else chain(words[low : low + n], n) if n else words[:0])
+            low += n
+    return out
+
+
 def node_of(row: np.ndarray) -> bytes | None:
     return hashlib.blake2b(row.tobytes(), digest_size=16).digest() if len(row) else None
 
@@ -101,7 +138,7 @@ def sizes_and_nodes(docs: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t, size) for t in texts_of(batch)]
+            sets = sets_in(texts_of(batch), size)
             nodes = [node_of(s) for s in sets]
             part = [None if n is None else int.from_bytes(n[:8], "little", signed=True) for n in nodes]
             columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()), pa.array(part, pa.int64())]
@@ -118,7 +155,7 @@ def very_long_columns(docs: DataFrame, size: int, share: int, hot: int) -> np.nd
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in (shingles(t, size) for t in texts_of(batch)):
+            for row in sets_in(texts_of(batch), size):
                 if len(row):
                     yield pa.RecordBatch.from_arrays([pa.array(row.view(np.int64)), pa.array([node_of(row)] * len(row))], ["gram", "node"])
 
@@ -145,10 +182,10 @@ def shared_columns(docs: DataFrame, size: int, per_cent: int, shards: int, last:
             texts = texts_of(batch)
             for i, j in runs([len(t) for t in texts], 8 << 20):
                 entries, known = {}, {}
-                for text in texts[i:j]:
-                    row = shingles(text, size)
+                for row in sets_in(texts[i:j], size):
                     if len(row):
-                        entries[node_of(row)], known[node_of(row)] = first_columns(row, sent.value, per_cent)
+                        node = node_of(row)
+                        entries[node], known[node] = first_columns(row, sent.value, per_cent)
                 out = []
                 for kind, of in ((False, entries), (True, known)):
                     nodes = np.array([int.from_bytes(k[:8], "little") for k in of], np.uint64)
@@ -275,30 +312,36 @@ def parts(rows: str, entries: str, block: int = BLOCK) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.col(rows) / block), F.ceil(F.col(entries) / ENTRIES)).cast("int")
 
 
-def links_by_choice(columns: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
-    """Each row in one block: of the column of least hash among its own, cut into parts by a hash of the row."""
-    chosen = columns.groupBy("node", "n", "s").agg(F.min_by("gram", F.xxhash64("gram")).alias("gram"))
-    told = with_group_value(chosen, ["gram"], "s", m=(F.count("*"), F.sum("m")), e=(F.sum("n"), F.sum("e"))).where("m > 1")
-    part = F.pmod(F.xxhash64("node", F.lit(7)), parts("m", "e"))
-    return links_of_blocks(told.select("gram", part.alias("block"), "node", F.lit(2).alias("side"), F.col("node").alias("root")), sets, ["gram", "block"], per_cent)
-
-
-def links_between(columns: DataFrame, roots: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
-    """Links between components: in each column the rows outside its largest component by all of its rows."""
-    members = columns.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    size = members.groupBy("gram", "root", "s").agg(F.count("*").alias("k"), F.sum("n").alias("e")).groupBy("gram", "root").agg(F.sum("k").alias("k"), F.sum("e").alias("e"))
-    whole = size.groupBy("gram").agg(F.max(F.struct("k", "root")).alias("_b"), F.sum("k").alias("m"), F.sum("e").alias("e"), F.count("*").alias("roots"))
-    whole = whole.where("roots > 1").join(size.select("gram", "root", F.col("e").alias("be")), "gram").where(F.col("_b.root") == F.col("root"))
-    cuts = whole.select(
-        "gram", F.col("root").alias("major"), parts("m", "e").alias("across"),
-        F.greatest(F.lit(1), F.ceil((F.col("m") - F.col("_b.k")) / BLOCK), F.ceil((F.col("e") - F.col("be")) / ENTRIES)).cast("int").alias("down"),
-    )
-    open_rows = members.join(cuts, "gram")
-    i, j = F.pmod(F.xxhash64("node", F.lit(8)), F.col("down")), F.pmod(F.xxhash64("node", F.lit(9)), F.col("across"))
-    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    minor = open_rows.where("root <> major").select("gram", i.cast("int").alias("i"), F.explode(every("across")).alias("j"), "node", F.lit(0).alias("side"), "root")
-    all_rows = open_rows.select("gram", j.cast("int").alias("j"), F.explode(every("down")).alias("i"), "node", F.lit(1).alias("side"), "root")
-    return links_of_blocks(minor.unionByName(all_rows), sets, ["gram", "i", "j"], per_cent)
+def choice(columns: DataFrame) -> DataFrame:
+    """(node, n, home, block): each row in one block, of the column of least hash among its own, cut into parts."""
+    chosen = columns.groupBy("node", "n", "s").agg(F.min_by("gram", F.xxhash64("gram")).alias("home"))
+    told = with_group_value(chosen, ["home"], "s", m=(F.count("*"), F.sum("m")), e=(F.sum("n"), F.sum("e")))
+    return told.select("node", "n", "home", F.pmod(F.xxhash64("node", F.lit(7)), parts("m", "e")).alias("block"), "m")
+
+
+def links_by_choice(blocks: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
+    rows = blocks.where("m > 1").select("home", "block", "node", F.lit(2).alias("side"), F.col("node").alias("root"))
+    return links_of_blocks(rows, sets, ["home", "block"], per_cent)
+
+
+def links_between(columns: DataFrame, blocks: DataFrame, roots: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
+    """Links between components. In each column that is neither of one component nor of one block, the rows outside its largest
+    component meet all of its rows: such rows are put into blocks as by ``choice``, and the rows of all their columns come there once."""
+    known = blocks.select("node", "home", F.xxhash64("home", "block").alias("block")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    members = columns.join(known, "node")
+    first = members.groupBy("gram", "root", "s").agg(F.count("*").alias("k"), F.min("block").alias("b1"), F.max("block").alias("b2"))
+    size = first.groupBy("gram", "root").agg(F.sum("k").alias("k"), F.min("b1").alias("b1"), F.max("b2").alias("b2"))
+    whole = size.groupBy("gram").agg(F.max_by("root", F.struct("k", "root")).alias("major"), F.count("*").alias("roots"), F.min("b1").alias("b1"), F.max("b2").alias("b2"))
+    open_rows = cut_lineage(members.drop("block").join(whole.where("roots > 1 AND b1 <> b2").select("gram", "major"), "gram"))
+    minor = open_rows.where("root <> major").groupBy("node", "root", "n", "s").agg(F.min_by("gram", F.xxhash64("gram")).alias("lead"))
+    told = with_group_value(minor, ["lead"], "s", m=(F.count("*"), F.sum("m")), e=(F.sum("n"), F.sum("e")))
+    minor = cut_lineage(told.select("node", "root", "lead", F.pmod(F.xxhash64("node", F.lit(8)), parts("m", "e")).alias("i")))
+    asked = open_rows.where("root <> major").select("gram", "node").join(minor.select("node", "lead", "i"), "node").select("gram", "lead", "i").distinct()
+    met = cut_lineage(open_rows.select("gram", "node", "root", "n").join(asked, "gram").select("lead", "i", "node", "root", "n").distinct())
+    across = met.groupBy("lead", "i").agg(F.count("*").alias("m"), F.sum("n").alias("e")).select("lead", "i", parts("m", "e").alias("across"))
+    right = met.join(across, ["lead", "i"]).select("lead", "i", F.pmod(F.xxhash64("node", F.lit(9)), F.col("across")).cast("int").alias("j"), "node", F.lit(1).alias("side"), "root")
+    left = minor.join(across, ["lead", "i"]).select("lead", "i", F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("j"), "node", F.lit(0).alias("side"), "root")
+    return links_of_blocks(left.unionByName(right), sets, ["lead", "i", "j"], per_cent)
 
 
 # --- the operator ----------------------------------------------------------------------------
@@ -317,10 +360,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame, size: int, bits: int) -> DataFra
             p = batch.column("p").to_numpy().astype(np.uint64)
             hit = (sent.value[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
             batch = batch.filter(pa.array(hit))
-            for text in texts_of(batch):
-                row = shingles(text, size)
-                if len(row):
-                    yield pa.RecordBatch.from_arrays([pa.array([node_of(row)]), pa.array([row.tobytes()])], ["node", "grams"])
+            found = {node_of(row): row.tobytes() for row in sets_in(texts_of(batch), size) if len(row)}
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], ["node", "grams"])
 
     found = docs.select("text", place.alias("p")).mapInArrow(run, "node binary, grams binary")
     return found.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.min("grams").alias("grams"))
@@ -337,8 +378,9 @@ def linked(docs: DataFrame, per_cent: int = PER_CENT, size: int = WORDS, share:
     columns = cut_lineage(candidates(entries, nodes, per_cent))
     wanted = columns.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
     sets = cut_lineage(sets_of(docs, cut_lineage(wanted), size, bits))
-    links = cut_lineage(links_by_choice(columns, sets, per_cent))
-    links = links.unionByName(cut_lineage(links_between(columns, connected(links), sets, per_cent)))
+    blocks = cut_lineage(choice(columns))
+    links = cut_lineage(links_by_choice(blocks, sets, per_cent))
+    links = links.unionByName(cut_lineage(links_between(columns, blocks, connected(links), sets, per_cent)))
     roots = connected(links).select(F.col("node"), F.col("root"))
     named = rows.where("node IS NOT NULL").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).withColumn("s", salt("doc_id"))
     named = with_group_value(named, ["root"], "s", component_id=(F.min("doc_id"), F.min("component_id")))
