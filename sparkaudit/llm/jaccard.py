@@ -4,13 +4,14 @@ Two documents link when 100 * common >= 80 * union, so a partner of a set of s s
 
 1. Each text becomes its set of 64-bit shingle hashes; equal sets are one row (``node``) of the matrix.
 2. First bound. In the order of the hashes the first s - ceil(0.8 s) + k columns of two linked rows share at least k
-   (``prefix``, with k a tenth of s). Only these entries travel, dealt by column, and each column says how many rows it
+   (``prefix``, with k three tenths of s). Only these entries travel, dealt by column, and each column says how many rows it
    has. A row with fewer than k columns that it shares with anyone has no link and goes: in prose nearly all do.
 3. Second bound. Of what is left, linked rows share one of their rarest columns (all but k - 1). These are the candidates.
    Columns with the same rows are one.
 4. Products. Rows meet in blocks and their overlaps are added up slab by slab of columns; a pair is dropped as soon as its
    count and what is left of the shorter row cannot reach the bound that follows from the two sizes. First each row goes to
-   the block of one column that similar rows choose alike, cut into parts of bounded size: this joins most of a large group
+   the block of one column that similar rows choose alike, cut into parts of bounded size, and those whose columns are not
+   decided by that once more to other parts: this joins most of a large group
    of near copies at once, however many there are, at a cost linear in them. Then, for each column whose rows are still in several
    components, the rows outside its largest one are multiplied by all of its rows, in rectangles, so that no link between
    components is missed. Columns whose rows have all met already are left out. Links inside a component are not needed and not listed.
@@ -126,7 +127,7 @@ def shared(n: int, per_cent: int) -> int:
 
 def in_prefix(n: int) -> int:
     """Columns that two rows share in their prefixes, at least, if the smaller one has ``n``."""
-    return max(1, n // 10)
+    return max(1, 3 * n // 10)
 
 
 def prefix(n: int, per_cent: int) -> int:
@@ -223,7 +224,7 @@ def shared_columns(docs: DataFrame, size: int, per_cent: int, shards: int, last:
 
 def candidates(entries: DataFrame, nodes: DataFrame, per_cent: int) -> DataFrame:
     """(gram, node, n): the rarest shared columns of each row that can have links; columns with the same rows once."""
-    needed = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * per_cent / 100) / 10)).cast("bigint")
+    needed = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * per_cent / 100) * 3 / 10)).cast("bigint")
     count = entries.groupBy("part").agg(F.count("*").alias("c"))
     open_rows = nodes.join(count, "part").where(F.col("c") >= needed).select("part", "node", "n", (F.col("c") - needed + 1).alias("most"))
     nth = F.row_number().over(Window.partitionBy("node").orderBy("rows", "gram"))
@@ -312,28 +313,34 @@ def parts(rows: str, entries: str, block: int = BLOCK) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.col(rows) / block), F.ceil(F.col(entries) / ENTRIES)).cast("int")
 
 
-def choice(columns: DataFrame) -> DataFrame:
-    """(node, n, home, block): each row in one block, of the column of least hash among its own, cut into parts."""
-    chosen = columns.groupBy("node", "n", "s").agg(F.min_by("gram", F.xxhash64("gram")).alias("home"))
-    told = with_group_value(chosen, ["home"], "s", m=(F.count("*"), F.sum("m")), e=(F.sum("n"), F.sum("e")))
-    return told.select("node", "n", "home", F.pmod(F.xxhash64("node", F.lit(7)), parts("m", "e")).alias("block"), "m")
+def choice(columns: DataFrame, seed: int) -> DataFrame:
+    """(node, home, block, root): each row of ``columns`` (gram, node, n, s, root) in one block, of the column of least hash among
+    its own, cut into parts. Columns with several rows only."""
+    chosen = columns.groupBy("node", "n", "s", "root").agg(F.min_by("gram", F.xxhash64("gram", F.lit(seed))).alias("home"))
+    told = with_group_value(chosen, ["home"], "s", m=(F.count("*"), F.sum("m")), e=(F.sum("n"), F.sum("e"))).where("m > 1")
+    return told.select("node", "home", F.pmod(F.xxhash64("node", F.lit(seed)), parts("m", "e")).alias("block"), "root")
 
 
 def links_by_choice(blocks: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
-    rows = blocks.where("m > 1").select("home", "block", "node", F.lit(2).alias("side"), F.col("node").alias("root"))
-    return links_of_blocks(rows, sets, ["home", "block"], per_cent)
+    return links_of_blocks(blocks.select("home", "block", "node", F.lit(2).alias("side"), "root"), sets, ["home", "block"], per_cent)
 
 
-def links_between(columns: DataFrame, blocks: DataFrame, roots: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
-    """Links between components. In each column that is neither of one component nor of one block, the rows outside its largest
-    component meet all of its rows: such rows are put into blocks as by ``choice``, and the rows of all their columns come there once."""
-    known = blocks.select("node", "home", F.xxhash64("home", "block").alias("block")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    members = columns.join(known, "node")
-    first = members.groupBy("gram", "root", "s").agg(F.count("*").alias("k"), F.min("block").alias("b1"), F.max("block").alias("b2"))
+def undecided(columns: DataFrame, blocks: DataFrame, roots: DataFrame) -> DataFrame:
+    """(gram, node, n, s, root, major, rows): the columns whose rows are neither of one component nor all in one of ``blocks``, with their
+    rows' components and the largest of these."""
+    met = blocks.select("node", F.xxhash64("home", "block").alias("b"))
+    members = columns.select("gram", "node", "n", "s").join(met, "node", "left").join(roots, "node", "left")
+    members = members.withColumn("root", F.coalesce("root", "node")).withColumn("b", F.coalesce("b", F.xxhash64("node")))
+    first = members.groupBy("gram", "root", "s").agg(F.count("*").alias("k"), F.min("b").alias("b1"), F.max("b").alias("b2"))
     size = first.groupBy("gram", "root").agg(F.sum("k").alias("k"), F.min("b1").alias("b1"), F.max("b2").alias("b2"))
-    whole = size.groupBy("gram").agg(F.max_by("root", F.struct("k", "root")).alias("major"), F.count("*").alias("roots"), F.min("b1").alias("b1"), F.max("b2").alias("b2"))
-    open_rows = cut_lineage(members.drop("block").join(whole.where("roots > 1 AND b1 <> b2").select("gram", "major"), "gram"))
-    minor = open_rows.where("root <> major").groupBy("node", "root", "n", "s").agg(F.min_by("gram", F.xxhash64("gram")).alias("lead"))
+    whole = size.groupBy("gram").agg(F.max_by("root", F.struct("k", "root")).alias("major"), F.sum("k").alias("rows"), F.count("*").alias("roots"), F.min("b1").alias("b1"), F.max("b2").alias("b2"))
+    return members.drop("b").join(whole.where("roots > 1 AND b1 <> b2").select("gram", "major", "rows"), "gram")
+
+
+def links_between(open_rows: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
+    """Links between components: in each column the rows outside its largest component meet all of its rows. Such rows are put into
+    blocks by their longest column, which most of a group share, and the rows of all their columns come there once."""
+    minor = open_rows.where("root <> major").groupBy("node", "root", "n", "s").agg(F.max_by("gram", F.struct("rows", "gram")).alias("lead"))
     told = with_group_value(minor, ["lead"], "s", m=(F.count("*"), F.sum("m")), e=(F.sum("n"), F.sum("e")))
     minor = cut_lineage(told.select("node", "root", "lead", F.pmod(F.xxhash64("node", F.lit(8)), parts("m", "e")).alias("i")))
     asked = open_rows.where("root <> major").select("gram", "node").join(minor.select("node", "lead", "i"), "node").select("gram", "lead", "i").distinct()
@@ -372,15 +379,19 @@ def linked(docs: DataFrame, per_cent: int = PER_CENT, size: int = WORDS, share:
     docs = bounded(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")))
     rows = cut_lineage(sizes_and_nodes(docs, size))
     nodes = cut_lineage(rows.where("node IS NOT NULL").groupBy("node", "part").agg(F.first("n_shingles").alias("n"), F.min("doc_id").alias("doc_id")))
-    total = nodes.select(F.sum(F.col("n") * (100 - per_cent + 10) / 100)).first()[0] or 0
+    total = nodes.select(F.sum(F.col("n") * (100 - per_cent + 30) / 100)).first()[0] or 0
     shards = 1 << max(0, int(total // SHARD)).bit_length()
     entries = cut_lineage(shared_columns(docs, size, per_cent, shards, very_long_columns(docs, size, share, hot)))
     columns = cut_lineage(candidates(entries, nodes, per_cent))
     wanted = columns.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
     sets = cut_lineage(sets_of(docs, cut_lineage(wanted), size, bits))
-    blocks = cut_lineage(choice(columns))
+    blocks = cut_lineage(choice(columns.withColumn("root", F.col("node")), 1))
     links = cut_lineage(links_by_choice(blocks, sets, per_cent))
-    links = links.unionByName(cut_lineage(links_between(columns, blocks, connected(links), sets, per_cent)))
+    # the parts of a large group are joined by other parts
+    open_rows = cut_lineage(undecided(columns, blocks, connected(links)))
+    links = links.unionByName(cut_lineage(links_by_choice(choice(open_rows, 2), sets, per_cent)))
+    open_rows = cut_lineage(undecided(open_rows, blocks, connected(links)))
+    links = links.unionByName(cut_lineage(links_between(open_rows, sets, per_cent)))
     roots = connected(links).select(F.col("node"), F.col("root"))
     named = rows.where("node IS NOT NULL").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).withColumn("s", salt("doc_id"))
     named = with_group_value(named, ["root"], "s", component_id=(F.min("doc_id"), F.min("component_id")))
