@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from sparkaudit.functions import text as X
 from sparkaudit.functions.stats import safe_corr
@@ -97,63 +95,6 @@ def anchor_presence(docs: DataFrame, anchors: Mapping[str, int | None], key: str
     return docs.select(key, F.inline(rows)).where(wrong)
 
 
-@F.pandas_udf(DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp ratio of two short strings."""
-    from difflib import SequenceMatcher
-
-    return pd.Series([
-        None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)
-    ], dtype="float64")
-
-
-def _words(c: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(c, r"[^\p{L}\p{N}]+"), lambda w: w != ""))
-
-
-def match_titles(
-    candidates: DataFrame, targets: DataFrame, min_ratio: float = 0.85, title: str = "title", key: str = "key"
-) -> DataFrame:
-    """Best candidate per target title, or status ``unresolved``; nothing is invented.
-
-    A candidate must hold at least half of the target's distinct words and reach the similarity
-    ratio; correction notices are rejected. Whoever holds half of w words holds one of the
-    w - ceil(w/2) + 1 rarest, so only those are join keys: frequent words never meet, and no
-    candidate is lost. Equal titles are scored once.
-    """
-    cand = candidates.where(~F.lower(title).rlike("correction|erratum")).select(
-        F.col(key).alias("cand_key"), F.lower(title).alias("cand_title")
-    )
-    goal = targets.select(F.col(key).alias("key"), F.lower(title).alias("target_title"))
-    cand_words = cand.select("cand_title").distinct().withColumn("_cw", _words(F.col("cand_title")))
-    posted = cand_words.select("cand_title", "_cw", F.explode("_cw").alias("_w"))
-    frequency = posted.groupBy("_w").agg(F.count("*").alias("_f"))
-    wanted = goal.select("target_title").distinct().withColumn("_tw", _words(F.col("target_title")))
-    ranked = (
-        wanted.select("target_title", "_tw", F.explode("_tw").alias("_w"))
-        .join(frequency, "_w", "left")
-        .groupBy("target_title", "_tw")
-        .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("_f", F.lit(0)).alias("f"), F.col("_w").alias("w")))).alias("_r"))
-    )
-    half = F.ceil(F.size("_tw") / 2.0).cast("int")
-    rare = ranked.select("target_title", "_tw", F.explode(F.slice("_r", 1, F.size("_tw") - half + 1)).alias("_x"))
-    la, lb = F.length("cand_title"), F.length("target_title")
-    pairs = (
-        rare.withColumn("_w", F.col("_x.w")).join(posted, "_w")
-        .where((2 * F.least(la, lb) >= min_ratio * (la + lb)) & (F.size(F.array_intersect("_tw", "_cw")) >= half))
-        .select("cand_title", "target_title").distinct()
-    )
-    scored = pairs.withColumn("ratio", sequence_ratio("cand_title", "target_title")).where(F.col("ratio") >= min_ratio)
-    first_key = cand.groupBy("cand_title").agg(F.min("cand_key").alias("cand_key"))
-    best = scored.join(first_key, "cand_title").groupBy("target_title").agg(
-        F.min(F.struct((-F.col("ratio")).alias("neg"), "cand_key", "cand_title")).alias("_b")
-    )
-    return goal.join(best, "target_title", "left").select(
-        "key", "target_title", F.col("_b.cand_key").alias("cand_key"), F.col("_b.cand_title").alias("cand_title"),
-        (-F.col("_b.neg")).alias("ratio"), F.when(F.col("_b").isNull(), "unresolved").otherwise("matched").alias("status"),
-    )
-
-
 def compare_tables(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str, tol: float) -> DataFrame:
     """Matched cells, unmatched cells, largest difference, cells within tolerance."""
     x = a.select(*keys, F.col(value).alias("_a"), F.lit(True).alias("_ina"))

@@ -13,6 +13,7 @@ from sparkaudit.operators import compare as D
 from sparkaudit.operators import counts as N
 from sparkaudit.operators import joins as J
 from sparkaudit.operators import sequence as Q
+from sparkaudit.operators import titles as L
 from sparkaudit.plans.derived import MANUSCRIPTS_SQL, manuscripts
 from sparkaudit.plans.registry import Tables, query
 from sparkaudit.sources.sinks import verify_manifest
@@ -202,19 +203,41 @@ def join_exactly_one(t: Tables) -> DataFrame:
     return J.exactly_one(t.customer, table, ["c_custkey"])
 
 
-@query(
-    "join_title_gate",
-)
+def page_titles(t: Tables) -> DataFrame:
+    """Titles of pages as records: the site stands for the journal, the number in its address for the year."""
+    title = F.regexp_extract("html", r"<title>([^<]*)</title>", 1)
+    year = F.regexp_extract("url", r"/([0-9]+)", 1)
+    return t.pages.select(F.col("page_id").alias("key"), title.alias("title"), F.regexp_extract("url", r"^https?://([^/]*)", 1).alias("journal"), year.alias("year"))
+
+
+@query("join_title_gate")
 def join_title_gate(t: Tables) -> DataFrame:
-    """Benchmark first sentences that lost one letter, looked up among those of all documents and items."""
-    first = F.substring_index("text", ".", 1)
-    items = t.benchmark.select(F.col("item_id").alias("key"), first.alias("title"))
-    cand = items.unionByName(t.documents.select((F.col("doc_id") + 1000000000).alias("key"), first.alias("title")))
-    target = items.withColumn("title", F.regexp_replace("title", r"^(.{6})(.)", "$1"))
-    out = D.match_titles(cand, target)
+    """All page titles, each without its seventh letter, looked up among all page titles."""
+    cand = page_titles(t)
+    target = cand.select("key", F.regexp_replace("title", r"^(.{6}).", "$1").alias("title"))
+    out = L.match_titles(cand, target)
     return out.select("key", "cand_key", F.round("ratio", 4).alias("ratio"), "status")
 
 
+@query(
+    "join_title_journal_year",
+    r"""WITH p AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(url, '^https?://([^/]*)', 1) AS journal,
+                          regexp_extract(url, '/([0-9]+)', 1) AS year FROM pages),
+        c AS (SELECT lower(title) AS title, min(page_id) AS cand_key, arg_min(lower(journal), page_id) AS journal, arg_min(try_cast(year AS BIGINT), page_id) AS year
+              FROM p WHERE NOT regexp_matches(lower(title), 'correction|erratum') GROUP BY ALL),
+        m AS (SELECT page_id AS key, cand_key, CASE WHEN cand_key IS NULL THEN 'title'
+                WHEN NOT (contains(c.journal, 'example.org') OR contains(c.journal, 'example.com')) THEN 'journal'
+                WHEN NOT coalesce(c.year BETWEEN 100 AND 999, false) THEN 'year' END AS reason
+              FROM p LEFT JOIN c ON upper(p.title) = upper(c.title) AND lower(p.title) = c.title)
+        SELECT key, CASE WHEN reason IS NULL THEN cand_key END AS cand_key, CASE WHEN reason IS NULL THEN 1.0::DOUBLE END AS ratio,
+               CASE WHEN reason IS NULL THEN 'matched' ELSE 'unresolved' END AS status, reason FROM m""",
+)
+def join_title_journal_year(t: Tables) -> DataFrame:
+    """All page titles looked up among themselves, with an allow-list of sites and a window of years."""
+    out = L.match_titles(page_titles(t), page_titles(t).select("key", "title"), journals=["example.org", "example.com"], years=(100, 999))
+    return out.select("key", "cand_key", "ratio", "status", "reason")
+
+
 BOXES_SQL = """
 bx AS (SELECT l_orderkey AS page, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS box_no,
          (l_partkey % 400)::DOUBLE AS x0, (l_suppkey % 10 * 60)::DOUBLE AS y0,

@@ -135,18 +135,6 @@ def test_agreement_prevalence(spark):
     assert r["raw"] == 0.9 and r["kappa"] == pytest.approx(0.0) and r["ac1"] == pytest.approx((0.9 - 0.095) / (1 - 0.095), abs=1e-9)
 
 
-def test_title_gate_brute_force(spark):
-    from difflib import SequenceMatcher
-
-    cand = [(1, "Effects of sleep on memory in adults"), (2, "Correction: Effects of sleep on memory in adults"),
-            (3, "Effects of sleep on memory in older adults"), (4, "A different paper")]
-    goal = [(10, "Effect of sleep on memory in adults"), (11, "Nothing like it at all here")]
-    out = {r["key"]: r for r in D.match_titles(spark.createDataFrame(cand, "key int, title string"), spark.createDataFrame(goal, "key int, title string")).collect()}
-    best = max((SequenceMatcher(None, t.lower(), goal[0][1].lower()).ratio(), -k) for k, t in cand if "Correction" not in t)
-    assert out[10]["cand_key"] == -best[1] and out[10]["ratio"] == pytest.approx(best[0])
-    assert out[11]["status"] == "unresolved"
-
-
 def test_sentence_diff_and_paragraphs(spark):
     long = "this is a sentence that is surely longer than the sixty characters asked for"
     a, b = docs(spark, f"{long}. {long.replace('this', 'that')}."), docs(spark, f"Prefix words {long}. Other.")
