@@ -10,7 +10,7 @@ window of one token on each side is encoded anew and grows, by twice as many tok
 the rest is not stable.
 
 The pattern splits the text first; no token crosses a match. A match that is a token itself is that token, as in the
-reference library. Matches repeat, so each task keeps a table of those it has met, of bounded size.
+reference library. Matches repeat, so each worker keeps a table of those it has met, of bounded size, and gathers ids from it.
 
 Defined results: NULL text counts as empty and has no tokens; very long texts and matches are encoded whole.
 """
@@ -19,8 +19,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkaudit.llm.common import bounded
+from sparkaudit.llm.common import bounded, runs
 
 #: Pieces, neighbour pairs and short strings that a task remembers, at most, of each.
-REMEMBERED = 100_000
+REMEMBERED = 300_000
+#: Characters of texts whose matches are looked up together.
+RUN = 1 << 20
 #: Bytes of a piece that are merged directly, below the tree.
 LEAF = 6
 #: Bytes from which on merging uses a heap.
@@ -46,7 +50,11 @@ class Tokenizer:
         self.ranks = ranks
         self.token = {i: b for b, i in ranks.items()}
         self.pieces = regex.compile(pattern)
-        self.known: dict[str, bytes] = {}
+        tokens = [self.token.get(i, b"") for i in range(max(self.token) + 1)]
+        size = np.array([len(b) for b in tokens], np.int64)
+        self.bytes = np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(size) - size, size
+        self.known: dict[str, int] = {}
+        self.flat, self.begin, self.size, self.uses = array("I"), array("q"), array("q"), np.zeros(0, np.int64)
         self.stable: dict[tuple[int, int], bool] = {}
         self.short: dict[bytes, list[int]] = {}
 
@@ -138,26 +146,79 @@ class Tokenizer:
         middle = len(data) // 2
         return self.join(self.tree(data[:middle]), self.tree(data[middle:]))
 
-    def piece(self, text: str) -> bytes:
-        """The ids of one match as little-endian 32-bit numbers."""
-        met = self.known.get(text)
-        if met is None:
-            data = text.encode()
-            whole = self.ranks.get(data)
-            met = np.array([whole] if whole is not None else self.tree(data), "<u4").tobytes()
-            if len(text) <= 64:
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
-                self.known[text] = met
-        return met
+    def learn(self, text: str) -> None:
+        """Give a match a number, and keep its ids behind those of the others."""
+        data = text.encode()
+        whole = self.ranks.get(data)
+        ids = [whole] if whole is not None else self.tree(data)
+        self.known[text] = len(self.begin)
+        self.begin.append(len(self.flat))
+        self.size.append(len(ids))
+        self.flat.extend(ids)
+
+    def forget(self) -> None:
+        """Keep the half of the table that is used most, if it is used again at all."""
+        old, uses = list(self.known), np.array(self.uses, np.int64)
+        stay = np.sort(np.argsort(-uses, kind="stable")[: REMEMBERED // 2])
+        stay = stay[uses[stay] > 1]
+        flat, begin, size = self.flat, self.begin, self.size
+        self.known, self.flat, self.begin, self.size, self.uses = {}, array("I"), array("q"), array("q"), np.zeros(0, np.int64)
+        for i in stay.tolist():
+            self.known[old[i]] = len(self.begin)
+            self.begin.append(len(self.flat))
+            self.size.append(size[i])
+            self.flat.extend(flat[begin[i] : begin[i] + size[i]])
+        if len(self.flat) > 8 * REMEMBERED:  # very long matches
+            self.known, self.flat, self.begin, self.size = {}, array("I"), array("q"), array("q")
+
+    def encode_all(self, texts: Sequence[str]) -> list[np.ndarray]:
+        """The ids of each text. Matches meet at borders that nothing crosses, so each different one of a run is encoded once and
+        the ids of all are gathered from the table."""
+        out = []
+        for i, j in runs([len(t) for t in texts], RUN):
+            if len(self.known) > REMEMBERED or len(self.flat) > 8 * REMEMBERED:
+                self.forget()
+            found = [self.pieces.findall(t) for t in texts[i:j]]
+            matches = list(chain.from_iterable(found))
+            numbers = list(map(self.known.get, matches))
+            if None in numbers:
+                for new in dict.fromkeys(m for m, n in zip(matches, numbers, strict=True) if n is None):
+                    self.learn(new)
+                numbers = list(map(self.known.get, matches))
+            which = np.array(numbers, np.int64)
+            uses = np.bincount(which, minlength=len(self.begin))
+            uses[: len(self.uses)] += self.uses
+            self.uses = uses
+            ids, ends = gathered(np.array(self.flat, "<u4"), np.array(self.begin, np.int64), np.array(self.size, np.int64), which)
+            cuts = np.concatenate([[0], ends])[np.cumsum([0, *map(len, found)])].tolist()
+            out += [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+        return out
 
     def encode(self, text: str) -> bytes:
-        """All ids of a text as little-endian 32-bit numbers; matches meet at borders that nothing crosses."""
-        return b"".join(map(self.piece, self.pieces.findall(text)))
+        """All ids of a text as little-endian 32-bit numbers."""
+        return self.encode_all([text])[0].tobytes()
 
-    def decode(self, ids: bytes) -> bytes:
+    def decode(self, ids: bytes | np.ndarray) -> bytes:
         """Bytes of the ids, concatenated."""
-        return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        ids = np.frombuffer(ids, "<u4")
+        return b"".join(gathered(*self.bytes, ids[i : i + RUN].astype(np.int64))[0].tobytes() for i in range(0, len(ids), RUN))
+
+
+def gathered(flat: np.ndarray, begin: np.ndarray, size: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches ``which`` of ``flat`` one behind the other, and where each ends."""
+    n = size[which]
+    ends = np.cumsum(n)
+    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin[which] - ends + n, n)], ends
+
+
+_MADE: list[tuple] = []
+
+
+def tokenizer_of(ranks: dict[bytes, int], pattern: str) -> Tokenizer:
+    """One tokenizer for all tasks of a worker process, as long as they use the same ranks and pattern."""
+    if not _MADE or _MADE[0][0] is not ranks or _MADE[0][1] != pattern:
+        _MADE[:] = [(ranks, pattern, Tokenizer(ranks, pattern))]
+    return _MADE[0][2]
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -172,9 +233,9 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = Tokenizer(sent.value, pattern)
+        tokenizer = tokenizer_of(sent.value, pattern)
         for batch in batches:
-            ids = [tokenizer.encode(t or "") for t in batch.column("text").to_pylist()]
+            ids = [found.tobytes() for found in tokenizer.encode_all([t or "" for t in batch.column("text").to_pylist()])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], [*columns, "__ids"])
 
     return bounded(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__ids", T.BinaryType())]))
@@ -186,7 +247,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], pattern: str, ids: str =
     columns = encoded.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = Tokenizer(sent.value, pattern)
+        tokenizer = tokenizer_of(sent.value, pattern)
         for batch in batches:
             out = [tokenizer.decode(b or b"") for b in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*columns, "__bytes"])
@@ -202,11 +263,11 @@ def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFr
     sent = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = Tokenizer(sent.value, pattern)
+        tokenizer = tokenizer_of(sent.value, pattern)
         for batch in batches:
-            ids = [tokenizer.encode(t or "") for t in batch.column("text").to_pylist()]
+            ids = tokenizer.encode_all([t or "" for t in batch.column("text").to_pylist()])
             back = [hashlib.sha256(tokenizer.decode(b)).hexdigest() for b in ids]
-            columns = [pa.array([len(b) // 4 for b in ids], pa.int64()), pa.array([hashlib.sha256(b).hexdigest() for b in ids], pa.string()), pa.array(back, pa.string())]
+            columns = [pa.array([len(b) for b in ids], pa.int64()), pa.array([hashlib.sha256(b.tobytes()).hexdigest() for b in ids], pa.string()), pa.array(back, pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -220,13 +281,13 @@ def tokenised(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFra
     kept = [c for c in docs.columns if c != "text" and c not in made]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = Tokenizer(sent.value, pattern)
+        tokenizer = tokenizer_of(sent.value, pattern)
         for batch in batches:
-            ids = [tokenizer.encode(t or "") for t in batch.column("text").to_pylist()]
-            size = [len(b) // 4 for b in ids]
+            ids = tokenizer.encode_all([t or "" for t in batch.column("text").to_pylist()])
+            size = [len(b) for b in ids]
             back = pa.array([hashlib.sha256(tokenizer.decode(b)).hexdigest() for b in ids], pa.string())
             offsets = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
-            lists = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32)))
+            lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*ids, np.zeros(0, "<u4")]).astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(size, pa.int64()), back, lists], [*kept, *made])
 
     fields = [docs.schema[c] for c in kept] + [T.StructField(name, kind) for name, kind in made.items()]
