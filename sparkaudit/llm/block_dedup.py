@@ -7,7 +7,7 @@ earlier in the same document); words in repeated windows go.
    ``BLOCK`` words probes it. Any window of 20 words holds at least one whole block of its own document, so of two equal
    windows either one has an indexed block that the other one's probes hit.
 2. Extension: a hit is followed through the windows that hold it, up to ``WINDOW`` words; windows with no hit are no
-   repeats. The windows left are compared as 128-bit hashes, and all but the earliest of equal ones are repeats.
+   repeats. The windows left are compared as 80-bit hashes over XXH64 hashes of their words, and all but the earliest of equal ones are repeats.
    Overlapping repeats join to maximal ones.
 
 Probes are many (one for each word), so they travel packed: a task sorts the probes of a run of documents by shard and
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkaudit.llm.common import BASE_2, Rolling, bounded, joined, mix, runs, same_keys, settle, texts_of, word_spans
+from sparkaudit.llm.common import BASE_2, Rolling, bounded, joined, mix, runs, same_keys, settle, texts_of, word_hashes, word_spans
 from sparkaudit.llm.suffix_dedup import covered
 
 WINDOW = 20
@@ -91,8 +91,8 @@ def runs_of(batch: pa.RecordBatch) -> Iterator[tuple[Run, list[bytes], range]]:
     marks = batch.column("mark").to_numpy()
     for i, j in runs([len(t) for t in texts], RUN):
         data, ends = joined(texts[i:j])
-        starts, stops, doc = word_spans(data, ends)
-        words = Rolling(data).slices(starts, stops)
+        _, _, doc = word_spans(data, ends)
+        words = word_hashes(b" ".join(texts[i:j]))  # a rolling hash of the bytes would make some different words alike
         bounds = np.searchsorted(doc, np.arange(j - i + 1))
         group: list[tuple[int, int, np.ndarray]] = []
         total = 0

@@ -9,8 +9,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from sparkaudit.session import cut_lineage
 
@@ -128,6 +130,18 @@ def word_spans(data: np.ndarray, doc_ends: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(doc_ends, starts, side="right")
 
 
+_ONE_SPACE = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit XXH64 for each word of ``text``, in order. Each different word is hashed once."""
+    words = pc.split_pattern(pa.array([text.translate(_ONE_SPACE)], pa.large_binary()), b" ").values.dictionary_encode()
+    named = words.dictionary.to_pylist()
+    ids = words.indices.to_numpy()
+    hashes = np.array([xxh64_intdigest(w) for w in named], np.uint64)
+    return hashes[ids[ids != named.index(b"")]] if b"" in named else hashes[ids]
+
+
 def first_by_hash(df: DataFrame, order: Column, total: int, most: int) -> DataFrame:
     """The first ``most`` of ``total`` rows in the order of a 64-bit hash.
 

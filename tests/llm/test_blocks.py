@@ -63,3 +63,12 @@ def test_long_text_in_parts(spark, prose, monkeypatch):
 
 def test_no_rows(documents):
     assert block_dedup.summary(documents([])).count() == 0
+
+
+def test_words_that_a_rolling_hash_takes_for_one(spark, documents):
+    """Strings of two letters that cancel in any polynomial modulo 2^64."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    b = a.translate(str.maketrans("ab", "ba"))
+    common = " ".join(f"w{i}" for i in range(19))
+    rows = [(1, f"{common} {a}"), (2, f"{common} {b}"), (3, f"{common} {a}")]
+    assert {r.doc_id: r.n_removed for r in block_dedup.summary(documents(rows)).collect()} == {1: 0, 2: 0, 3: 20}
