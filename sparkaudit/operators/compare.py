@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,28 +21,55 @@ def _normal_sentences(docs: DataFrame, doc_id: str, text: str, min_len: int) ->
     ).withColumn("_n", F.lower("sentence"))
 
 
+def _minimisers(text: str, window: int, gram: int):
+    """For ``mapInArrow``: rows of ``text`` with ``fp``, the least gram hash of each of its windows, each once.
+
+    A window that occurs in two texts has the same grams in both, so it has the same least hash. Only about two of
+    window - gram grams are least somewhere. The hash need not be good: what meets by it is compared as text.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        factor = np.uint64(0x9E3779B97F4A7C15)
+        for batch in batches:
+            column = batch.column(text)
+            chars = ["" if v is None else v for v in column.to_pylist()]
+            codes = np.frombuffer("".join(chars).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+            sizes = np.array([len(c) for c in chars], np.int64)
+            if len(codes) < window:
+                continue
+            hashes = np.zeros(len(codes) - gram + 1, np.uint64)
+            with np.errstate(over="ignore"):
+                for i in range(gram):
+                    hashes = (hashes ^ (hashes >> np.uint64(29))) * factor + codes[i : i + len(hashes)]
+                hashes = (hashes ^ (hashes >> np.uint64(32))) * factor
+            width, least, span = window - gram + 1, hashes, 1
+            while span < width:  # minimum over runs, doubled as far as it goes
+                step = min(span, width - span)
+                least = np.minimum(least[: len(least) - step], least[step:])
+                span += step
+            windows = np.maximum(sizes - window + 1, 0)
+            row = np.repeat(np.arange(len(sizes)), windows)
+            start = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
+            found = least[start + (np.cumsum(sizes) - sizes)[row]]
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (found[1:] != found[:-1])
+            yield pa.RecordBatch.from_arrays([column.take(pa.array(row[new])), pa.array(found[new].view(np.int64))], [text, "fp"])
+
+    return run
+
+
 def sentence_diff(a: DataFrame, b: DataFrame, min_len: int = 60, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Sentences of A whose first ``min_len`` characters occur inside no sentence of B.
 
-    Containment without pairing sentences: every window of B is a 64-bit key, and one equi join
-    meets the prefixes of A. Keys that meet are confirmed on the text itself.
+    Containment without pairing sentences and without a row for each character window: both sides are winnowed, so a prefix has
+    one fingerprint and a sentence of B about one for each quarter of ``min_len``. They meet in one equi join and are confirmed on the text.
     """
     left = _normal_sentences(a, doc_id, text, min_len).withColumn("_p", F.substring("_n", 1, min_len))
     right = _normal_sentences(b, doc_id, text, min_len - 1).select("_n").distinct()
-    windows = right.select(
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(1), F.length("_n") - min_len + 1), lambda i: F.substring(F.col("_n"), i, min_len)
-            )
-        ).alias("_p")
-    )
-    prefixes = left.select("_p").distinct()
-    found = (
-        windows.withColumn("_k", F.xxhash64("_p"))
-        .join(prefixes.select(F.xxhash64("_p").alias("_k")).distinct(), "_k", "left_semi")
-        .select("_p")
-        .distinct()
-    )
+    gram = max(1, min_len // 2)
+    prefixes = left.select("_p").distinct().mapInArrow(_minimisers("_p", min_len, gram), "_p string, fp bigint")
+    inside = right.mapInArrow(_minimisers("_n", min_len, gram), "_n string, fp bigint")
+    found = inside.join(prefixes, "fp").where(F.contains("_n", "_p")).select("_p").distinct()
     return left.join(found, "_p", "left_anti").select("doc_id", "sentence")
 
 

@@ -135,6 +135,26 @@ def test_agreement_prevalence(spark):
     assert r["raw"] == 0.9 and r["kappa"] == pytest.approx(0.0) and r["ac1"] == pytest.approx((0.9 - 0.095) / (1 - 0.095), abs=1e-9)
 
 
+def test_sentence_diff_brute_force(spark):
+    """Few letters, so that windows nearly repeat; prefixes at both ends, in the middle and with one letter changed."""
+    import random
+
+    rng = random.Random(2)
+    line = lambda n: "".join(rng.choice("abé😀 x") for _ in range(n)).strip()
+    inner = [line(rng.randrange(20, 200)) for _ in range(60)]
+    outer = []
+    for s in inner:
+        cut = rng.randrange(len(s)) if s else 0
+        made = rng.choice([s, line(30) + s, s[cut:], s[:cut] + "q" + s[cut:], s + line(9), line(50) + s[:61]])
+        outer.append(made)
+    a, b = [(i, s) for i, s in enumerate(inner)], [(i, s) for i, s in enumerate(outer)]
+    norm = lambda s: " ".join(s.split())
+    want = sorted(i for i, s in a if len(norm(s)) > 60 and not any(norm(s)[:60] in norm(o) for _, o in b))
+    make = lambda rows: spark.createDataFrame(rows, "doc_id int, text string")
+    assert sorted(r["doc_id"] for r in D.sentence_diff(make(a), make(b)).collect()) == want and 5 < len(want) < 50
+    assert D.sentence_diff(make(a), make(b).limit(0)).count() == sum(len(norm(s)) > 60 for _, s in a)
+
+
 def test_sentence_diff_and_paragraphs(spark):
     long = "this is a sentence that is surely longer than the sixty characters asked for"
     a, b = docs(spark, f"{long}. {long.replace('this', 'that')}."), docs(spark, f"Prefix words {long}. Other.")
