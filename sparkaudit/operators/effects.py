@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from sparkaudit.functions import stats as S
 from sparkaudit.functions.tails import p_from_t, p_from_z, t975
 from sparkaudit.operators.ordered import null_safe_join, prefix_sums, suffix_min
+from sparkaudit.session import cut_lineage
 
-# Groups up to this many estimates are pooled inside one row; larger ones by distributed passes.
-IN_ROW_LIMIT = 10000
-REML_STEPS = 300
-REML_TOL = 1e-9
+#: Points of a bracket and passes of the search for tau2: 2^40 parts of the first bracket. Passes cost more than points.
+SECTIONS = 256
+SEARCH_STEPS = 5
 
 
 def arm_moments(df: DataFrame, keys: Sequence[str], arm: str, case: object, control: object, value: Column) -> DataFrame:
@@ -125,76 +125,49 @@ def meta_dl(effects: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def _reml_step(t: Column, es: Column) -> Column:
-    """One fixed-point step of REML tau2 over an array of (yi, vi)."""
-    w = lambda x: 1 / (x["vi"] + t)
-    zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("b"), F.lit(0.0).alias("c"))
-    s1 = F.aggregate(es, zero, lambda acc, x: F.struct(
-        (acc["a"] + w(x)).alias("a"), (acc["b"] + w(x) * x["yi"]).alias("b"), (acc["c"] + w(x) * w(x)).alias("c")))
-    mu = s1["b"] / s1["a"]
-    num = F.aggregate(es, F.lit(0.0), lambda acc, x: acc + w(x) * w(x) * ((x["yi"] - mu) * (x["yi"] - mu) - x["vi"]))
-    return F.greatest(F.lit(0.0), num / s1["c"] + 1 / s1["a"])
+def _reml_tau2(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, center, tau2): the REML estimate of each group by multi-section, in a fixed number of aggregations for all groups at once.
 
-
-def _reml_in_row(effects: DataFrame, keys: Sequence[str]) -> DataFrame:
-    grouped = effects.groupBy(*keys).agg(F.collect_list(F.struct("yi", "vi")).alias("_es"))
-    es = F.col("_es")
-    start = F.struct(F.lit(0.0).alias("t"), F.lit(False).alias("done"))
-
-    def step(acc: Column, _: Column) -> Column:
-        new = F.when(acc["done"], acc["t"]).otherwise(_reml_step(acc["t"], es))
-        return F.struct(new.alias("t"), (acc["done"] | (F.abs(new - acc["t"]) < REML_TOL)).alias("done"))
-
-    tau = F.aggregate(F.sequence(F.lit(1), F.lit(REML_STEPS)), start, step)
-    return grouped.select(*keys, F.when(F.size(es) > 1, tau["t"]).otherwise(F.lit(0.0)).alias("tau2"))
-
-
-def _reml_passes(effects: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The same iteration for very large groups: two aggregations per step, nothing is collected."""
-    from sparkaudit.session import cut_lineage
-
-    tau = cut_lineage(effects.select(*keys).distinct().withColumn("tau2", F.lit(0.0)))
-    for _ in range(REML_STEPS):
-        w = 1 / (F.col("vi") + F.col("tau2"))
-        e = effects.join(tau, list(keys))
-        mu = e.groupBy(*keys).agg((F.sum(w * F.col("yi")) / F.sum(w)).alias("_mu"))
-        d = F.col("yi") - F.col("_mu")
-        new = e.join(mu, list(keys)).groupBy(*keys).agg(
-            F.greatest(F.lit(0.0), F.sum(w * w * (d * d - F.col("vi"))) / F.sum(w * w) + 1 / F.sum(w)).alias("tau2"),
-            F.max("tau2").alias("_old"),
-        )
-        new = cut_lineage(new)
-        moved = new.where(F.abs(F.col("tau2") - F.col("_old")) >= REML_TOL).limit(1).count()
-        tau = new.select(*keys, "tau2")
-        if not moved:
-            break
-    return tau
-
-
-def meta_reml(effects: DataFrame, keys: Sequence[str], tails: bool = True, in_row_limit: int = IN_ROW_LIMIT) -> DataFrame:
-    """REML tau2 with the Hartung-Knapp interval, never narrower than the unadjusted one.
-
-    k = 1 is not pooled. Groups above ``in_row_limit`` estimates, if there are any, take the
-    distributed iteration.
+    The equation f(t) = sum(w^2 ((y - mu)^2 - v)) / sum(w^2) + 1 / sum(w) - t with w = 1 / (v + t) is evaluated at ``SECTIONS``
+    points of each group's bracket, and the part with the first change from above zero is the next bracket. No root lies
+    above 2 range(y)^2 + max(v). f(0) <= 0 means 0. A group's rows are only summed, whatever their number, after its mean has
+    been taken off the values.
     """
-    usable = _usable(effects)
-    sizes = usable.groupBy(*keys).agg(F.count("*").alias("_k"))
-    large = sizes.where(F.col("_k") > in_row_limit)
-    if large.limit(1).count():
-        big = large.select(*keys)
-        tau = _reml_in_row(usable.join(big, list(keys), "left_anti"), keys).unionByName(
-            _reml_passes(usable.join(big, list(keys), "left_semi"), keys)
+    width = F.col("hi") - F.col("lo")
+    spread = F.max("yi") - F.min("yi")
+    ends = rows.groupBy(*keys).agg(F.avg("yi").alias("center"), F.when(F.count("*") > 1, 2 * spread * spread + F.max("vi")).otherwise(F.lit(0.0)).alias("hi"))
+    bracket = ends.withColumn("lo", F.lit(0.0))
+    y, w = F.col("yi") - F.col("center"), 1 / (F.col("vi") + F.col("t"))
+    for _ in range(SEARCH_STEPS):
+        points = null_safe_join(rows, bracket, keys).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(SECTIONS - 1))))
+        points = points.withColumn("t", F.col("lo") + width * F.col("i") / SECTIONS)
+        sums = points.groupBy(*keys, "i").agg(
+            F.first("center").alias("center"), F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.first("t").alias("t"),
+            F.sum(w).alias("a"), F.sum(w * y).alias("b"), F.sum(w * w).alias("c"), F.sum(w * w * y).alias("d"), F.sum(w * w * (y * y - F.col("vi"))).alias("e"),
         )
-    else:
-        tau = _reml_in_row(usable, keys)
+        mu = F.col("b") / F.col("a")
+        f = (F.col("e") - 2 * mu * F.col("d") + mu * mu * F.col("c")) / F.col("c") + 1 / F.col("a") - F.col("t")
+        first = sums.groupBy(*keys).agg(*[F.first(c).alias(c) for c in ("center", "lo", "hi")], F.min(F.when(f <= 0, F.col("i"))).alias("j"))
+        at = lambda j: F.col("lo") + width * j / SECTIONS
+        low = F.when(F.col("j").isNull(), at(F.lit(SECTIONS - 1))).when(F.col("j") == 0, F.col("lo")).otherwise(at(F.col("j") - 1))
+        high = F.when(F.col("j").isNull(), F.col("hi")).when(F.col("j") == 0, F.col("lo")).otherwise(at(F.col("j")))
+        bracket = cut_lineage(first.select(*keys, "center", low.alias("lo"), high.alias("hi")))
+    return bracket.select(*keys, "center", ((F.col("lo") + F.col("hi")) / 2).alias("tau2"))
+
+
+def meta_reml(effects: DataFrame, keys: Sequence[str], tails: bool = True) -> DataFrame:
+    """REML tau2 with the Hartung-Knapp interval, never narrower than the unadjusted one. k = 1 is not pooled."""
+    usable = cut_lineage(_usable(effects).select(*keys, "yi", "vi"))
+    tau = _reml_tau2(usable, keys)
     w = 1 / (F.col("vi") + F.col("tau2"))
-    y = F.col("yi")
-    s = usable.join(tau, list(keys)).groupBy(*keys).agg(
-        F.count("*").alias("k"), F.max("tau2").alias("tau2"), F.sum(w).alias("_sw"), F.sum(w * y).alias("_swy"),
+    y = F.col("yi") - F.col("center")
+    s = null_safe_join(usable, tau, keys).groupBy(*keys).agg(
+        F.count("*").alias("k"), F.max("tau2").alias("tau2"), F.max("center").alias("_c"), F.sum(w).alias("_sw"), F.sum(w * y).alias("_swy"),
         F.sum(w * y * y).alias("_swyy"),
     )
-    est = F.col("_swy") / F.col("_sw")
-    qw = F.greatest(F.lit(0.0), F.col("_swyy") - F.col("_swy") * est)
+    off = F.col("_swy") / F.col("_sw")
+    est = F.col("_c") + off
+    qw = F.greatest(F.lit(0.0), F.col("_swyy") - F.col("_swy") * off)
     hk = F.try_divide(qw, (F.col("k") - 1) * F.col("_sw"))
     se = F.sqrt(F.greatest(hk, 1 / F.col("_sw")))
     pooled = F.col("k") > 1

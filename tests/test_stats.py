@@ -128,12 +128,17 @@ def test_reml_both_ways(spark):
     assert rows["single"]["status"] == "not_applicable" and rows["single"]["est"] is None
 
 
-def test_reml_passes_small(spark, monkeypatch):
-    monkeypatch.setattr(E, "REML_TOL", 1e-4)
-    df = spark.createDataFrame([("g", 0.1, 0.05), ("g", 0.9, 0.04), ("g", 0.3, 0.1)], "g string, yi double, vi double")
-    a = E.meta_reml(df, ["g"], tails=False).first()
-    b = E.meta_reml(df, ["g"], tails=False, in_row_limit=2).first()
-    assert a["tau2"] == pytest.approx(b["tau2"], abs=1e-3)
+def test_reml_groups_of_any_size(spark):
+    """Small, hot, homogeneous and far-off groups and a NULL key, each like the plain iteration."""
+    rng = random.Random(3)
+    groups = {"small": [(0.1, 0.05), (0.9, 0.04), (0.3, 0.1)], None: [(1.0, 0.2), (3.0, 0.1), (2.5, 0.4)], "alike": [(0.5, 0.3)] * 6,
+              "far": [(1e8 + rng.gauss(0, 2), rng.uniform(0.1, 1)) for _ in range(40)], "hot": [(rng.gauss(1, 0.7), rng.uniform(0.05, 0.5)) for _ in range(20_000)]}
+    df = spark.createDataFrame([(g, *e) for g, es in groups.items() for e in es], "g string, yi double, vi double").repartition(7)
+    got = {r["g"]: r for r in E.meta_reml(df, ["g"], tails=False).collect()}
+    for g, es in groups.items():
+        shift = 1e8 if g == "far" else 0.0
+        tau, mu = _meta([y - shift for y, _ in es][:2000] if g != "hot" else [y for y, _ in es], [v for _, v in es])
+        assert got[g]["tau2"] == pytest.approx(tau, abs=1e-6) and got[g]["est"] - shift == pytest.approx(mu, abs=1e-6) and got[g]["k"] == len(es)
 
 
 def test_subset_bug_fixture(spark):
