@@ -1,11 +1,7 @@
-"""Near-duplicate documents by word shingles: hashed signatures in bands choose whom to compare, sets decide."""
+"""Near-duplicate documents by word shingles: an exact set join on the rarest shingles of each set."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +10,7 @@ from sparkaudit.operators.ordered import prefix_sums
 from sparkaudit.session import cut_lineage, evaluate_once
 
 SHINGLE = 5
-BANDS, ROWS = 24, 4
+COUNTED = 0.4  # share of the hash range whose shingles are counted; a prefix at 0.8 takes a fifth of a set
 
 
 def shingle_set(text: Column, size: int = SHINGLE) -> Column:
@@ -28,47 +24,61 @@ def shingle_set(text: Column, size: int = SHINGLE) -> Column:
     return F.when(F.size(words) > 0, F.get(F.transform(F.array(words), runs), 0)).otherwise(F.array().cast("array<bigint>"))
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One hash for each band: the smallest values of ROWS permutations."""
-    rng = np.random.default_rng(11)
-    factor, shift = (rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
-    for batch in batches:
-        out = []
-        for shingles in batch.column("shingles"):
-            h = shingles.values.to_numpy().view(np.uint64)
-            with np.errstate(over="ignore"):
-                least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-                for i in range(0, len(h), 4096):
-                    least = np.minimum(least, ((h[i : i + 4096, None] ^ (h[i : i + 4096, None] >> np.uint64(31))) * factor + shift).min(0))
-                band = least.reshape(BANDS, ROWS)
-                key = np.zeros(BANDS, np.uint64)
-                for r in range(ROWS):
-                    key = (key ^ band[:, r]) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(r + 1)
-                out.append((key ^ np.arange(BANDS, dtype=np.uint64)).view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column("rep_id"), pa.array([list(x) for x in out], pa.list_(pa.int64()))], ["rep_id", "bands"])
-
-
-def _smallest_matches(ranked: DataFrame, reps: DataFrame, min_ratio: float) -> DataFrame:
-    """(rep_id, lead, ratio): the smallest match of each member of ``ranked`` (band, rep_id, place) among those before it."""
-    a = reps.select("rep_id", F.col("shingles").alias("_a"))
-    b = reps.select(F.col("rep_id").alias("lead"), F.col("shingles").alias("_b"))
+def _prefix_length(n: Column, min_ratio: float) -> Column:
+    """How many of the first members of a set, in any order all sets share, hold a member of each set that matches it."""
+    return n - F.ceil(n * min_ratio - 1e-9) + 1
+
+
+def _prefixes(sets: DataFrame, min_ratio: float) -> DataFrame:
+    """(key, rep_id, n, pos): each set's prefix, without members that no other set has.
+
+    ``sets`` has rep_id, n, ``counted`` (shingles in the counted part of the hash range, least first) and ``others`` (the
+    first ones outside it that a prefix can need). The order is: counted shingles from rare to frequent, then the others by
+    hash. Members that occur once hold their places at the front, but nobody can meet in them.
+    """
+    counted = sets.select("rep_id", F.explode("counted").alias("key"))
+    shared = cut_lineage(counted.groupBy("key").agg(F.count("*").alias("often")).where("often > 1"))
+    met = counted.join(shared, "key").groupBy("rep_id").agg(F.array_sort(F.collect_list(F.struct("often", "key"))).alias("met"))
+    known = sets.join(met, "rep_id", "left").select(
+        "rep_id", "n", "others", _prefix_length(F.col("n"), min_ratio).alias("p"), F.size("counted").alias("c"), F.coalesce("met", F.array().cast("array<struct<often:bigint,key:bigint>>")).alias("met")
+    )
+    known = known.withColumn("alone", F.col("c") - F.size("met"))
+    first = F.transform(F.slice("met", 1, F.greatest(F.col("p") - F.col("alone"), F.lit(0)).cast("int")), lambda m, i: F.struct(m["key"].alias("key"), (F.col("alone") + i).alias("pos")))
+    then = F.transform(F.slice("others", 1, F.greatest(F.col("p") - F.col("c"), F.lit(0)).cast("int")), lambda h, i: F.struct(h.alias("key"), (F.col("c") + i).alias("pos")))
+    return known.select("rep_id", F.col("n").cast("bigint").alias("n"), F.inline(F.concat(first, then))).select("key", "rep_id", "n", F.col("pos").cast("bigint").alias("pos"))
+
+
+def _can_match(min_ratio: float) -> Column:
+    """Sizes and places of a shared member still allow the overlap that the ratio asks for.
+
+    It holds for the first member that a matching pair shares, so no pair is lost.
+    """
+    n, m = F.col("n"), F.col("lead_n")
+    overlap = F.least(n - F.col("pos"), m - F.col("lead_pos"))
+    return (F.least(n, m) >= F.greatest(n, m) * min_ratio - 1e-9) & (overlap >= (n + m) * (min_ratio / (1 + min_ratio)) - 1e-9)
+
+
+def _smallest_matches(ranked: DataFrame, sets: DataFrame, min_ratio: float) -> DataFrame:
+    """(rep_id, lead, ratio): the smallest match of each member of ``ranked`` (key, rep_id, n, pos, place) among those before it."""
+    a = sets.select("rep_id", F.col("shingles").alias("_a"))
+    b = sets.select(F.col("rep_id").alias("lead"), F.col("shingles").alias("_b"))
     both = F.size(F.array_intersect("_a", "_b"))
     ratio = F.col("_i") / (F.col("_s") - F.col("_i"))
     asking = ranked.withColumn("found", F.lit(None).cast("bigint"))
     best, low, high = None, 0, 1
     while True:
-        leads = ranked.where((F.col("place") >= low) & (F.col("place") < high)).select("band", F.col("rep_id").alias("lead"))
+        leads = ranked.where((F.col("place") >= low) & (F.col("place") < high)).select("key", F.col("rep_id").alias("lead"), F.col("n").alias("lead_n"), F.col("pos").alias("lead_pos"))
         open_pairs = (F.col("lead") < F.col("rep_id")) & (F.col("found").isNull() | (F.col("lead") < F.col("found")))
-        pairs = asking.join(leads, "band").where(open_pairs).select("rep_id", "lead").distinct()
+        pairs = cut_lineage(asking.join(leads, "key").where(open_pairs & _can_match(min_ratio)).select("rep_id", "lead").distinct())
         scored = pairs.join(a, "rep_id").join(b, "lead").select("rep_id", "lead", both.alias("_i"), (F.size("_a") + F.size("_b")).alias("_s"))
         found = scored.withColumn("ratio", ratio).where(F.col("ratio") >= min_ratio).select("rep_id", "lead", "ratio")
         found = found if best is None else found.unionByName(best)
         best = cut_lineage(found.groupBy("rep_id").agg(F.min(F.struct("lead", "ratio")).alias("_m")).select("rep_id", "_m.*"))
-        # who has more before it in the band, and no match at or below the next of these
-        following = ranked.where(F.col("place") == high).select("band", F.col("rep_id").alias("_next"))
-        more = asking.drop("found").where(F.col("place") > high).join(following, "band")
+        # who has more before it at the key, and no match at or below the next of these
+        following = ranked.where(F.col("place") == high).select("key", F.col("rep_id").alias("_next"))
+        more = asking.drop("found").where(F.col("place") > high).join(following, "key")
         more = more.join(best.select("rep_id", F.col("lead").alias("found")), "rep_id", "left").where("found IS NULL OR _next < found")
-        asking = cut_lineage(more.select("band", "rep_id", "place", "found"))
+        asking = cut_lineage(more.select("key", "rep_id", "n", "pos", "place", "found"))
         if asking.isEmpty():
             return best
         low, high = high, high * 4
@@ -78,19 +88,33 @@ def near_duplicates(docs: DataFrame, min_ratio: float = 0.8, doc_id: str = "doc_
     """(doc_id, rep_id, similar_to, ratio), one row per document.
 
     ``rep_id`` is the smallest document with the same set of shingles. ``similar_to`` is the smallest other representative
-    below it whose set's Jaccard ratio is at least ``min_ratio``, among those that share one of its bands; a pair at 0.8
-    shares one with a chance above 0.9999. A band's members are compared with its smallest, then those that still lack a
-    match with the next, in rounds of four times as many, until each has its smallest match or was compared with all
-    before it. A band of copies thus gives about as many comparisons as it has members; one whose members match nobody
-    gives all its pairs. Texts without words are never similar.
+    below it whose set's Jaccard ratio is at least ``min_ratio``. Two such sets share a member of their prefixes, the first
+    (1 - ratio) n + 1 members in a common order from rare to frequent, so the prefixes are the join keys and none is lost.
+    The sets of a key are compared with its smallest, then those that still lack a match with the next, in rounds of four
+    times as many, until each has its smallest match or was compared with all before it: a family of edited copies gives
+    about as many comparisons as it has members. Sets are built anew for those who meet somebody; only the counted part of
+    each set is kept before that. Texts without words are never similar. A doc_id with several texts stands for one of them.
     """
-    rows = evaluate_once(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), shingles=shingle_set(F.coalesce("_text", F.lit(""))))
-    rows = rows.select("doc_id", F.array_sort("shingles").alias("shingles")).withColumn("same", F.sha2(F.array_join("shingles", ","), 256))
-    rows = cut_lineage(rows)
-    members = rows.groupBy("same").agg(F.min("doc_id").alias("rep_id"))
-    reps = cut_lineage(rows.join(members, (rows.same == members.same) & (rows.doc_id == members.rep_id)).where(F.size("shingles") > 0).select("rep_id", "shingles").dropDuplicates(["rep_id"]))
-    bands = cut_lineage(reps.mapInArrow(_signatures, "rep_id bigint, bands array<bigint>").select("rep_id", F.explode("bands").alias("band")))
-    ranked = prefix_sums(bands, ["band"], "rep_id", {"n": F.lit(1)}).where("n_total > 1").select("band", "rep_id", F.col("n_before").alias("place"))
-    best = _smallest_matches(cut_lineage(ranked), reps, min_ratio)
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
+    made = evaluate_once(texts, shingles=F.array_sort(shingle_set(F.coalesce("_text", F.lit("")))))
+    border = F.lit(int(-(2**63) + COUNTED * 2**64))
+    n = F.size("shingles")
+    most = F.greatest(_prefix_length(n, min_ratio), F.lit(1)).cast("int")
+    counted = F.filter("shingles", lambda h: h < border)
+    parts = evaluate_once(
+        made.select("doc_id", "shingles").withColumn("same", F.sha2(F.array_join("shingles", ","), 256)), n=n, counted=counted, others=F.slice(F.filter("shingles", lambda h: h >= border), 1, most)
+    )
+    others = F.when(F.size("counted") < most, F.slice("others", 1, F.greatest(most - F.size("counted"), F.lit(1)))).otherwise(F.array().cast("array<bigint>"))
+    rows = cut_lineage(parts.select("doc_id", "same", "n", "counted", others.alias("others")))
+    members = cut_lineage(rows.groupBy("same").agg(F.min("doc_id").alias("rep_id")))
+    chosen = rows.join(members, (rows.same == members.same) & (rows.doc_id == members.rep_id)).where("n > 0")
+    sets = cut_lineage(chosen.select("rep_id", members.same, "n", "counted", "others").dropDuplicates(["rep_id"]))
+    keys = cut_lineage(_prefixes(sets, min_ratio))
+    ranked = prefix_sums(keys, ["key"], "rep_id", {"one": F.lit(1), "n": F.col("n"), "pos": F.col("pos")}).where("one_total > 1")
+    ranked = cut_lineage(ranked.select("key", "rep_id", "n", "pos", F.col("one_before").alias("place")))
+    meeting = cut_lineage(ranked.select("rep_id").distinct().join(sets.select("rep_id", "same"), "rep_id"))
+    again = evaluate_once(texts.join(meeting, texts.doc_id == meeting.rep_id).select("rep_id", "same", "_text"), shingles=F.array_sort(shingle_set(F.coalesce("_text", F.lit("")))))
+    whole = cut_lineage(again.where(F.sha2(F.array_join("shingles", ","), 256) == F.col("same")).select("rep_id", "shingles").dropDuplicates(["rep_id"]))
+    best = _smallest_matches(ranked, whole, min_ratio)
     named = members.join(best, "rep_id", "left").select("same", "rep_id", F.col("lead").alias("similar_to"), "ratio")
     return rows.select("doc_id", "same").join(cut_lineage(named), "same").select("doc_id", "rep_id", "similar_to", "ratio")

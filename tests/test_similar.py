@@ -29,3 +29,32 @@ def test_pairs_in_a_template_family(spark):
     assert sum(m is not None for _, m, _ in want.values()) > 150
     got = {r.doc_id: (r.rep_id, r.similar_to, r.ratio) for r in near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == want
+
+
+def test_random_edits_against_brute_force(spark):
+    """Texts of all lengths with edits anywhere, a passage that many share, and a family in which few match."""
+    rng = random.Random(8)
+    passage = [f"p{k}" for k in range(40)]
+    rows = []
+    for i in range(120):
+        own = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([1, 3, 5, 6, 9, 20, 60, 150]))]
+        if i % 3 == 0:
+            own[len(own) // 2 : len(own) // 2] = passage
+        rows.append((len(rows), " ".join(own)))
+        for _ in range(rng.randrange(3)):
+            edited = list(own)
+            for _ in range(rng.randrange(1, 4)):
+                edited[rng.randrange(len(edited))] = f"e{rng.randrange(50)}"
+            rows.append((len(rows), " ".join(edited).upper() if rng.random() < 0.3 else " ".join(edited)))
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows + [(9001, None), (9002, "  ")], "doc_id bigint, text string")
+    want = brute([(i, t or "") for i, t in rows + [(9001, ""), (9002, "")]], 0.8)
+    assert 30 < sum(m is not None for _, m, _ in want.values()) < len(rows)
+    for least in (0.8, 0.5):
+        want = brute([(i, t or "") for i, t in rows + [(9001, ""), (9002, "")]], least)
+        got = {r.doc_id: (r.rep_id, r.similar_to, r.ratio) for r in near_duplicates(docs, least).collect()}
+        assert got == want, least
+
+
+def test_empty(spark):
+    assert near_duplicates(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
