@@ -5,9 +5,9 @@ cannot take is shared anew by weight. A source's rate is its target over its wor
 floor(rate) times for certain, and the rest of the target is a fixed-size sample. For it documents are ranked by the Pareto
 statistic u / (1 - u) over p / (1 - p), u being a reproducible draw and p / (1 - p) the inclusion odds (the fractional part
 of the rate; ``odds`` multiplies them by document), and taken in that order while their words fit. One last document, of
-those that were not taken the one whose size is nearest to the gap, closes it if that brings the sum nearer. That is what
-the SQL has, and ``mix``. ``mixed`` closes only if that leaves less than the smallest of them. Where a document too large for the rest ended the order early, so that the gap still holds
-others, the order is gone on with instead, skipping what does not fit, until no document that is left fits.
+those that were not taken the one whose size is nearest to the gap, closes it if that leaves less than the smallest of them.
+Where a document too large for the rest ended the order early, so that the gap still holds others, the order is gone on with
+instead, skipping what does not fit, until no document that is left fits. ``mix`` and ``mixed`` draw alike.
 
 Nothing orders a whole source: ranks fall into 65,536 steps, words are summed by (source, step), and only the documents
 of the one step in which the target is reached are ordered among each other. Tables with a row for each source are
@@ -57,10 +57,10 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     return filled.select("source", "source_size", F.least(limit.cast("double"), F.coalesce(filled_to, F.lit(0.0)) * F.col("weight")).alias("target"))
 
 
-def copies(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, odds: Column | None = None, go_on: bool = False) -> DataFrame:
+def copies(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, odds: Column | None = None) -> DataFrame:
     """``sized`` (doc_id, source, size) with source_size, target and ``copies``, how often the mix takes the document.
 
-    ``go_on``: past a document that does not fit, until none that is left fits.
+    What a source's words lack of its target is less than any of its documents that is not taken once more.
     """
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     shares = cut_lineage(
@@ -100,13 +100,13 @@ def copies(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, odds: Column |
         marked.where("NOT chosen AND p > 0 AND size > 0")
         .groupBy("source")
         .agg(F.min(F.struct(F.abs(F.col("size") - gap).alias("off"), "at")).alias("best"), F.first(gap).alias("gap"), F.min("size").alias("least"))
-        .where("best.off < gap AND best.off < least" if go_on else "best.off < gap")
+        .where("best.off < gap AND best.off < least")
     )
     closing = cut_lineage(closing.select("source", F.col("best.at").alias("closes")))
     closed = same_keys(marked, closing, ["source"], "left")
     once = closed.withColumn("chosen", F.col("chosen") | F.coalesce(F.col("at") == F.col("closes"), F.lit(False)))
     once = once.drop("border", "last", "taken", "closes")
-    later = _further(once.where("p > 0 AND size > 0")) if go_on else None
+    later = _further(once.where("p > 0 AND size > 0"))
     if later is not None:
         once = same_keys(once, later, ["source"], "left")
         once = once.withColumn("chosen", F.col("chosen") | ((F.col("p") > 0) & (F.col("size") > 0) & F.coalesce(_taken_in(F.col("turns")), F.lit(False))))
@@ -168,43 +168,10 @@ def mix(docs: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame) -> DataFrame:
     """``docs`` as the mix takes them: each row as many times as it is taken. All columns stay."""
-    often = copies(cut_lineage(sizes(docs)), go_on=True)
+    often = copies(cut_lineage(sizes(docs)))
     key = [F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("copies").alias("__copies")]
     often = often.where("copies > 0").select(*key).distinct()
     size = F.coalesce(F.regexp_count(docs["text"].cast("string"), F.lit(WORD)), F.lit(0)).cast("bigint")
     same = docs["doc_id"].eqNullSafe(often["__id"]) & docs["source"].eqNullSafe(often["__source"]) & (size == often["__size"])
     met = docs.join(often, same).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__copies"))))
     return met.drop("__id", "__source", "__size", "__copies", "__copy")
-
-
-SQL = r"""
-WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
-s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
-w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight, row_number() OVER (ORDER BY source NULLS LAST) AS nth FROM s),
-l AS (
-  SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (ORDER BY 3 * source_size / weight, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
-    / (sum(weight) OVER (ORDER BY 3 * source_size / weight, nth ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level FROM w),
-t AS (
-  SELECT source, source_size, least((3 * source_size)::DOUBLE, coalesce(max(CASE WHEN level <= 3 * source_size / weight THEN level END) OVER (), 0) * weight) AS target FROM l),
-r AS (
-  SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate FROM t),
-c AS (SELECT *, floor(rate) AS certain, rate - floor(rate) AS p, target - floor(rate) * source_size AS lacking FROM r),
-u AS (
-  SELECT d.doc_id, d.source, d.size, c.* EXCLUDE (source),
-    (('0x' || substr(md5('mix|' || coalesce(d.doc_id::VARCHAR, 'none')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u
-  FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source),
-q AS (SELECT *, CASE WHEN p > 0 THEN u / (1 - u) / (p / (1 - p) * 1.0::DOUBLE) END AS q FROM u),
-k AS (SELECT *, q / (1 + q) AS k FROM q),
-o AS (
-  SELECT *, CASE WHEN p > 0 AND size > 0 THEN
-    coalesce(sum(CASE WHEN p > 0 AND size > 0 THEN size END) OVER (PARTITION BY source ORDER BY k, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) END AS upto FROM k),
-h AS (SELECT *, coalesce(upto <= lacking, false) AS chosen FROM o),
-g AS (SELECT *, lacking - coalesce(max(CASE WHEN chosen THEN upto END) OVER (PARTITION BY source), 0) AS gap FROM h),
-f AS (
-  SELECT *, CASE WHEN NOT chosen AND p > 0 AND size > 0 THEN
-    row_number() OVER (PARTITION BY source, NOT chosen AND p > 0 AND size > 0 ORDER BY abs(size - gap), k, doc_id, size) END AS near FROM g)
-SELECT doc_id, size, source_size, target,
-  (size * (certain + CASE WHEN chosen OR coalesce(near = 1 AND abs(size - gap) < gap, false) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM f
-"""

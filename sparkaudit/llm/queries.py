@@ -54,7 +54,7 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(documents(spark, folder), ranks, public_tokenizers.PATTERN)
 
 
-query("op5_mixing", mixing.SQL)(lambda spark, folder: mixing.mix(documents(spark, folder)))
+query("op5_mixing")(lambda spark, folder: mixing.mix(documents(spark, folder)))
 
 
 @query(
