@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkaudit.functions.rules import where_predicate
 from sparkaudit.operators.ordered import null_safe_join, prefix_sums, previous_row
+from sparkaudit.operators.selection import exact_quantiles
 
 
 def count_by_rules(df: DataFrame, rules: Sequence[Mapping[str, object]]) -> DataFrame:
@@ -384,15 +385,11 @@ def modal_deviants(df: DataFrame, keys: Sequence[str], attr: str) -> DataFrame:
 
 
 def mad_outliers(df: DataFrame, keys: Sequence[str], value: str, k: float = 3.0) -> DataFrame:
-    """Flag values further than k MADs from the group median; nothing is deleted.
-
-    Spark's exact percentile merges value counts map-side, so equal values cost one entry.
-    """
-    med = df.groupBy(*keys).agg(F.percentile(F.col(value), F.lit(0.5)).alias("median"))
-    with_med = null_safe_join(df, med, keys)
-    mad = with_med.groupBy(*keys).agg(F.percentile(F.abs(F.col(value) - F.col("median")), F.lit(0.5)).alias("mad"))
+    """Flag values further than k MADs from the group median; nothing is deleted. Both medians are exact selections."""
+    median = lambda d, v, name: exact_quantiles(d, keys, v, [0.5]).select(*keys, F.col("quantile").alias(name))
+    with_med = null_safe_join(df, median(df, F.col(value), "median"), keys, "left")
     dev = F.abs(F.col(value) - F.col("median"))
-    return null_safe_join(with_med, mad, keys).withColumn("outlier", dev > k * F.col("mad"))
+    return null_safe_join(with_med, median(with_med, dev, "mad"), keys, "left").withColumn("outlier", dev > k * F.col("mad"))
 
 
 def duplicate_content(df: DataFrame, text: Column, copy_key: Sequence[str], min_copies: int = 2) -> DataFrame:

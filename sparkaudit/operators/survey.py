@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sparkaudit.functions.draws import pick
 from sparkaudit.operators.ordered import null_safe_join, prefix_sums
+from sparkaudit.operators.selection import exact_quantiles
 
 
 def design_key(period: str, *parts: str) -> Column:
@@ -185,8 +186,9 @@ def nested_lr(df: DataFrame, y: str, small: Sequence[str], big: Sequence[str], w
 
 
 def rcs_knots(df: DataFrame, x: str, shares: Sequence[float]) -> Column:
-    """Knots at quantiles, as one array from a scalar subquery."""
-    return df.select(F.percentile(F.col(x), F.array(*[F.lit(s) for s in shares]))).scalar()
+    """Knots at exact quantiles, as one array from a scalar subquery."""
+    knots = exact_quantiles(df, [], F.col(x), shares).agg(F.array_sort(F.collect_list(F.struct("share", "quantile"))).alias("k"))
+    return knots.select(F.col("k")["quantile"]).scalar()
 
 
 def rcs_basis(df: DataFrame, x: str, shares: Sequence[float]) -> DataFrame:
