@@ -48,8 +48,9 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: Column, shares: S
             inside = null_safe_join(rows.withColumn("_in", F.shiftright("_b", shift + DIGIT)), cells, [*keys, "_in"])
         counts = inside.groupBy(*keys, "_in", F.shiftright("_b", shift).alias("_cell")).agg(F.count("*").alias("_n"))
         order = Window.partitionBy(*keys, "_in").orderBy("_cell")
-        counts = cut_lineage(counts.withColumn("_upto", F.sum("_n").over(order)))
+        counts = counts.withColumn("_upto", F.sum("_n").over(order))
         if wanted is None:
+            counts = cut_lineage(counts)  # read twice
             wanted = _ranks(counts, keys, shares)
         met = null_safe_join(wanted, counts, [*keys, "_in"]).where("_rank < _upto AND _rank >= _upto - _n")
         wanted = cut_lineage(met.select(*keys, "share", "_far", "_upper", (F.col("_rank") - F.col("_upto") + F.col("_n")).alias("_rank"), F.col("_cell").alias("_in")))
