@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sparkaudit.functions import stats as S
 from sparkaudit.functions.tails import p_from_t, p_from_z, t975
 from sparkaudit.operators.ordered import null_safe_join, prefix_sums, suffix_min
+from sparkaudit.operators.selection import exact_quantiles
 from sparkaudit.session import cut_lineage
 
 #: Points of a bracket and passes of the search for tau2: 2^40 parts of the first bracket. Passes cost more than points.
@@ -65,11 +66,11 @@ def convention_agreement(main: DataFrame, other: DataFrame, keys: Sequence[str])
     """Same-sign count, median and largest absolute difference between two effect conventions."""
     a = main.select(*keys, F.col("yi").alias("_a"))
     b = other.select(*keys, F.col("yi").alias("_b"))
-    d = F.abs(F.col("_a") - F.col("_b"))
-    return a.join(b, list(keys)).where(F.col("_a").isNotNull() & F.col("_b").isNotNull()).agg(
-        F.count("*").alias("n"), F.count_if(F.signum("_a") == F.signum("_b")).alias("same_sign"),
-        F.percentile(d, F.lit(0.5)).alias("median_abs_diff"), F.max(d).alias("max_abs_diff"),
-    )
+    both = a.join(b, list(keys)).where(F.col("_a").isNotNull() & F.col("_b").isNotNull())
+    d = cut_lineage(both.select((F.signum("_a") == F.signum("_b")).alias("_same"), F.abs(F.col("_a") - F.col("_b")).alias("_d")))
+    median = exact_quantiles(d, [], F.col("_d"), [0.5]).select(F.max("quantile")).scalar()
+    counted = d.agg(F.count("*").alias("n"), F.count_if("_same").alias("same_sign"), F.max("_d").alias("max_abs_diff"))
+    return counted.select("n", "same_sign", median.alias("median_abs_diff"), "max_abs_diff")
 
 
 def pair_signatures(effects: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -269,3 +270,10 @@ def attenuation(base: DataFrame, adjusted: DataFrame, keys: Sequence[str]) -> Da
     a = base.select(*keys, F.col("yi").alias("base"))
     b = adjusted.select(*keys, F.col("yi").alias("adjusted"))
     return a.join(b, list(keys)).withColumn("ratio", F.try_divide(F.abs("adjusted"), F.abs("base")))
+
+
+def median_attenuation(ratios: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """States with a ratio and the exact median of their ratios; a group without any has the count 0 and no median."""
+    ratios = cut_lineage(ratios.select(*keys, "ratio"))
+    median = exact_quantiles(ratios, keys, F.col("ratio"), [0.5]).select(*keys, F.col("quantile").alias("median_ratio"))
+    return null_safe_join(ratios.groupBy(*keys).agg(F.count("ratio").alias("n")), median, keys, "left")

@@ -1,8 +1,8 @@
 """Ordered computations that stay parallel inside one large group.
 
 A plain window puts a whole group into one task. The helpers here first cut every group into
-order-preserving buckets, work inside (group, bucket), and carry only one small row per bucket
-across the group. Results equal those of the plain window.
+order-preserving buckets of a bounded number of rows, work inside (group, bucket), and carry only
+one small row per bucket across the group. Results equal those of the plain window.
 """
 
 from __future__ import annotations
@@ -11,42 +11,21 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-POSITION_BITS = 16
+from sparkaudit.session import cut_lineage
 
 
-def _is_integer(df: DataFrame, name: str) -> bool:
-    return isinstance(df.schema[name].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str], buckets: int | None = None) -> DataFrame:
+    """``df`` with ``_bucket``, monotone in ``order`` within a group.
 
-
-def value_splits(df: DataFrame, order: str, buckets: int | None = None) -> Column:
-    """Quantile cut points of ``order`` over all rows, as an uncorrelated scalar subquery.
-
-    One array of at most 512 doubles, whatever the size of the data.
-    """
-    if buckets is None:
-        buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    buckets = max(4, min(512, buckets))
-    shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    return df.select(F.percentile_approx(F.col(order).cast("double"), shares, F.lit(10000))).scalar()
-
-
-def order_bucket(df: DataFrame, order: str, buckets: int | None = None) -> DataFrame:
-    """Add ``_bucket``, monotone in ``order``.
-
-    Integers are cut into blocks of 65,536 values, so a bucket has a fixed bound after
-    pre-aggregation. Other numbers are cut at global quantiles, text at its first three characters.
+    Buckets are the range partitions of (keys, order), so they are sized by rows, whatever the type, the spread or the
+    common beginnings of the values, and a group of many rows has as many buckets as it needs. All groups together have
+    ``buckets`` of them, by default ``spark.sql.shuffle.partitions``. They are written, so that every reader, and every
+    task that is repeated, sees the same cuts.
     """
-    if _is_integer(df, order):
-        return df.withColumn("_bucket", F.shiftright(F.col(order).cast("bigint"), POSITION_BITS))
-    if isinstance(df.schema[order].dataType, T.StringType):
-        return df.withColumn("_bucket", F.substring(order, 1, 3))
-    cut = df.withColumn("_splits", value_splits(df, order, buckets))
-    bucket = F.size(F.filter("_splits", lambda s: s < F.col(order).cast("double"))).cast("bigint")
-    return cut.withColumn("_bucket", bucket).drop("_splits")
-
-
+    parts = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = df.repartitionByRange(parts, *keys, *order)
+    return cut_lineage(cut.withColumn("_bucket", F.spark_partition_id()))
 
 
 def prefix_sums(
@@ -67,7 +46,7 @@ def prefix_sums(
         .groupBy(*keys, order)
         .agg(*[F.sum(c).alias(m) for m, c in measures.items()])
     )
-    grouped = order_bucket(grouped, order, buckets)
+    grouped = ranged(grouped, keys, [order], buckets)
     by_bucket = grouped.groupBy(*keys, "_bucket").agg(*[F.sum(m).alias(f"_s_{m}") for m in measures])
     across = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
@@ -122,9 +101,9 @@ def previous_row(
     ties: Sequence[str] = (),
     prefix: str = "prev_",
 ) -> DataFrame:
-    """Add the values of the row before, in (order, ties), within keys. ``order`` is a whole number."""
+    """Add the values of the row before, in (order, ties), within keys. Rows of one order value are split by their ties."""
     keys = list(keys)
-    bucketed = order_bucket(df, order)
+    bucketed = ranged(df, keys, [order, *ties])
     inside = Window.partitionBy(*keys, "_bucket").orderBy(order, *ties)
     packed = F.struct(*[F.col(v) for v in values])
     rows = bucketed.withColumn("_prev", F.lag(packed).over(inside))
@@ -145,7 +124,7 @@ def suffix_min(df: DataFrame, keys: Sequence[str], order: str, value: str, bucke
     One row per (keys, order) is expected.
     """
     keys = list(keys)
-    bucketed = order_bucket(df, order, buckets)
+    bucketed = ranged(df, keys, [order], buckets)
     lows = bucketed.groupBy(*keys, "_bucket").agg(F.min(value).alias("_low"))
     across = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(1, Window.unboundedFollowing)
     later = lows.select(*keys, "_bucket", F.min("_low").over(across).alias("_later"))

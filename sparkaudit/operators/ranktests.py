@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkaudit.functions.draws import uniform
 from sparkaudit.functions.tails import sign_test_p
 from sparkaudit.operators.ordered import average_ranks, null_safe_join, prefix_sums
+from sparkaudit.session import cut_lineage
+
+#: Cells over the range of the draws in which a replicate is counted before its cut is looked for.
+CELLS = 1024
 
 
 def _case_counts(df: DataFrame, keys: Sequence[str], value: str, case: Column) -> DataFrame:
@@ -107,20 +111,27 @@ def empirical_fdr(tests: DataFrame, p: str, alphas: Sequence[float]) -> DataFram
 def permutation_test(units: DataFrame, unit: str, value: str, case: str, reps: int, seed: int = 1) -> DataFrame:
     """Difference of means under shuffled labels that keep the split; add-one P, two-sided by doubling.
 
-    ``units`` has one row per unit (pre-aggregated), the replicates multiply that table only. A
-    replicate's cases are its n1 smallest draws; the cut is found with bucketed prefix counts.
+    ``units`` has one row per unit (pre-aggregated), the replicates multiply that table only. A replicate's cases are its n1
+    smallest draws. Its draws are counted in ``CELLS`` cells, and only those of the one cell that holds the n1-th are put in
+    order, so what is shuffled is bounded by replicates x cells and units x replicates / cells. Labels must not be NULL.
     """
-    base = units.select(F.col(unit).alias("u"), F.col(value).cast("double").alias("v"), F.col(case).cast("boolean").alias("c"))
+    base = cut_lineage(units.select(F.col(unit).alias("u"), F.col(value).cast("double").alias("v"), F.col(case).cast("boolean").alias("c")))
     obs = base.agg(
         F.count_if("c").alias("n1"), F.count("*").alias("n"), F.sum("v").alias("s"),
         F.sum(F.when(F.col("c"), F.col("v")).otherwise(F.lit(0.0))).alias("s1"),
     )
-    drawn = base.select("u", "v", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep")).withColumn(
-        "d", uniform(seed, F.col("rep"), F.col("u")))
-    counts = prefix_sums(drawn, ["rep"], "d", {"m": F.lit(1).cast("bigint"), "sv": F.col("v")})
     head = obs.select(F.struct("n1", "n", "s", "s1")).scalar()
-    counts = counts.withColumn("_o", head)
-    chosen = counts.where(F.col("m_before") < F.col("_o.n1")).groupBy("rep").agg(F.sum("sv").alias("s1"), F.first("_o").alias("_o"))
+    drawn = base.select("u", "v", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep")).withColumn(
+        "d", uniform(seed, F.col("rep"), F.col("u"))).withColumn("cell", F.floor(F.col("d") * CELLS))
+    upto = Window.partitionBy("rep").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = drawn.groupBy("rep", "cell").agg(F.count("*").alias("m"), F.sum("v").alias("sv")).select(
+        "rep", "cell", "m", F.coalesce(F.sum("m").over(upto), F.lit(0)).alias("taken"),
+        F.coalesce(F.sum("sv").over(upto), F.lit(0.0)).alias("before"), head.alias("_o"))
+    last = cut_lineage(cells.where("taken < _o.n1 AND taken + m >= _o.n1").drop("m"))
+    inside = drawn.join(last.select("rep", "cell"), ["rep", "cell"])
+    counts = prefix_sums(inside, ["rep"], "d", {"m": F.lit(1).cast("bigint"), "sv": F.col("v")}).join(last, "rep")
+    chosen = counts.where(F.col("taken") + F.col("m_before") < F.col("_o.n1")).groupBy("rep").agg(
+        (F.first("before") + F.coalesce(F.sum("sv"), F.lit(0.0))).alias("s1"), F.first("_o").alias("_o"))
     diff = lambda s1, o: s1 / o["n1"] - (o["s"] - s1) / (o["n"] - o["n1"])
     r = chosen.select(diff(F.col("s1"), F.col("_o")).alias("d"), diff(F.col("_o.s1"), F.col("_o")).alias("obs"))
     out = r.agg(

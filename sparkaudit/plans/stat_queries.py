@@ -320,7 +320,7 @@ def st_attenuation(t: Tables) -> DataFrame:
     """The quantity effect stands in for the adjusted one."""
     other = E.smd_unpaired(E.arm_moments(samples(t), KEYS, "l_linestatus", "F", "O", F.col("l_quantity")))
     a = E.attenuation(effects(t), other.where("yi is not null"), KEYS)
-    return a.groupBy("module").agg(F.count("ratio").alias("n"), F.round(F.percentile("ratio", F.lit(0.5)), 5).alias("median_ratio"))
+    return E.median_attenuation(a, ["module"]).withColumn("median_ratio", F.round("median_ratio", 5))
 
 
 # --- 2.9 rank tests and resampling ----------------------------------------------------------

@@ -1,5 +1,6 @@
 """Known answers, identities and brute force for the statistics."""
 
+import bisect
 import math
 import random
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sparkaudit.functions import stats as S
 from sparkaudit.functions import tails as T
+from sparkaudit.functions.draws import uniform
 from sparkaudit.operators import effects as E
 from sparkaudit.operators import ordered as O
 from sparkaudit.operators import ranktests as R
@@ -83,6 +85,68 @@ def test_prefix_sums_and_ranks_match_brute_force(spark):
         assert r["min_auc"] == pytest.approx(min(part)) and r["max_auc"] == pytest.approx(max(part))
 
 
+@pytest.mark.parametrize("kind, make", [
+    ("bigint", lambda r: r.choice([-1, 1]) * r.randrange(2**62) + (1 << 61)), ("bigint", lambda r: 2**53 + r.randrange(40)),
+    ("double", lambda r: r.choice([7.25, r.gauss(0, 1e-300), r.gauss(0, 1e300), 0.0, -0.0])),
+    ("string", lambda r: "a common beginning " + str(r.randrange(500))), ("string", lambda r: r.choice(["", "\u00e9", "\U0001f600", "z"])),
+    ("int", lambda r: 5),
+])
+def test_prefix_sums_of_any_values(spark, kind, make):
+    """Sparse 64-bit numbers, numbers beyond the doubles' whole ones, hot values, text with one beginning, NULL keys and values."""
+    r = random.Random(11)
+    rows = [(r.choice(["a", "a", "a", "b", None]), make(r)) for _ in range(2500)] + [("a", None), ("only", None)]
+    df = spark.createDataFrame(rows, f"k string, v {kind}").repartition(7)
+    got = {(x["k"], x["v"]): (x["n"], x["n_before"], x["n_total"]) for x in O.prefix_sums(df, ["k"], "v", {"n": F.lit(1).cast("bigint")}, buckets=9).collect()}
+    place = (lambda v: v.encode()) if kind == "string" else (lambda v: v)
+    want = {}
+    for k in {k for k, _ in rows}:
+        values = sorted(place(v) for q, v in rows if q == k and v is not None)
+        for v in {v for q, v in rows if q == k and v is not None}:
+            first = bisect.bisect_left(values, place(v))
+            want[k, v] = (bisect.bisect_right(values, place(v)) - first, first, len(values))
+    assert got == want
+
+
+def test_order_of_a_hot_group_is_cut_by_rows(spark):
+    """One group and one value with nearly all rows: no bucket of the previous row's window holds more than its share."""
+    rows = [("hot", 3, i) for i in range(8000)] + [("cold", i, i) for i in range(80)]
+    df = spark.createDataFrame(rows, "k string, pos int, v int").repartition(4)
+    sizes = [x["count"] for x in O.ranged(df, ["k"], ["pos", "v"], 8).groupBy("k", "_bucket").count().collect()]
+    assert sum(sizes) == 8080 and max(sizes) < 3000
+    got = {(x["k"], x["v"]): x["prev_v"] for x in O.previous_row(df, ["k"], "pos", ["v"], ties=["v"]).collect()}
+    assert all(got[k, v] == (v - 1 if v else None) for k, _, v in rows)
+
+
+def test_medians_of_conventions_and_attenuation(spark):
+    """One hot value, a group without any ratio, NULL keys, an even and an odd number, no rows."""
+    rows = [("hot", 0.5)] * 900 + [("hot", float(i)) for i in range(9)] + [("none", None), ("even", 1.0), ("even", 4.0), (None, 2.0)]
+    df = spark.createDataFrame(rows, "k string, ratio double").repartition(4)
+    got = {x["k"]: (x["n"], x["median_ratio"]) for x in E.median_attenuation(df, ["k"]).collect()}
+    assert got == {"hot": (909, 0.5), "none": (0, None), "even": (2, 2.5), None: (1, 2.0)}
+    a = spark.createDataFrame([(i, float(i)) for i in range(5)] + [(9, None)], "i int, yi double")
+    b = a.withColumn("yi", F.col("yi") - F.col("i") * F.col("i"))
+    row = E.convention_agreement(a, b, ["i"]).first()
+    assert (row["n"], row["same_sign"], row["median_abs_diff"], row["max_abs_diff"]) == (5, 1, 4.0, 16.0)
+    row = E.convention_agreement(a.where("i > 99"), b, ["i"]).first()
+    assert row["n"] == 0 and row["median_abs_diff"] is None
+
+
+def test_permutation_cut_in_one_cell(spark, monkeypatch):
+    """The same chosen units whether a replicate's draws lie in one cell, a few or many; no case at all has no replicate."""
+    r = random.Random(2)
+    df = spark.createDataFrame([(i, r.gauss(0, 1), i % 3 == 0) for i in range(400)], "u int, v double, c boolean").repartition(3)
+    draws = df.select("u", "v", F.explode(F.sequence(F.lit(1), F.lit(25))).alias("rep")).select("v", "rep", uniform(1, F.col("rep"), F.col("u")).alias("d")).collect()
+    n1, all_, case = 134, sum(x[1] for x in df.collect()), sum(x[1] for x in df.collect() if x[2])
+    diff = lambda s: s / n1 - (all_ - s) / (400 - n1)
+    reps = [sum(v for _, v in sorted((x["d"], x["v"]) for x in draws if x["rep"] == i)[:n1]) for i in range(1, 26)]
+    want = (25, sum(diff(s) >= diff(case) for s in reps), sum(diff(s) <= diff(case) for s in reps))
+    for cells in (1, 3, 1024):
+        monkeypatch.setattr(R, "CELLS", cells)
+        got = R.permutation_test(df, "u", "v", "c", 25).first()
+        assert (got["reps"], got["ge"], got["le"]) == want and got["observed"] == pytest.approx(diff(case))
+    assert R.permutation_test(df.withColumn("c", F.lit(False)), "u", "v", "c", 5).first()["reps"] == 0
+
+
 def test_suffix_min_and_bh(spark):
     r = random.Random(5)
     ps = [round(r.random() ** 2, 3) for _ in range(300)] + [None]
