@@ -105,6 +105,23 @@ def test_grid_gaps(spark):
     assert empty.count() == 26 * 17 - 1
 
 
+def test_cells_of_a_grid_are_never_shuffled(spark, capsys):
+    """Gaps over several blocks of B keys; cells are made above the last exchange, also without a broadcast."""
+    a, b = spark.range(5).withColumnRenamed("id", "a"), spark.range(0, 9000, 3).withColumnRenamed("id", "b")
+    held = {(0, 0), (0, 3069), (0, 3072), (0, 8997), (1, 3072), (2, 6141), (2, 6144), (4, 4500)}
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = N.grid_gaps(a, b, spark.createDataFrame([*held, (1, 1), (77, 3)], "a bigint, b bigint"), "a", "b")
+        assert sorted((r["a"], r["b"]) for r in out.collect()) == [(i, j) for i in range(5) for j in range(0, 9000, 3) if (i, j) not in held]
+        capsys.readouterr()
+        out.explain()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    plan = capsys.readouterr().out
+    assert plan.index("Generate") < plan.index("Exchange")
+
+
 def test_sequences(spark):
     df = spark.createDataFrame([("d", p, n) for p, n in enumerate([1, 2, 9, 1, 2, 3, 5])], "k string, pos bigint, num bigint")
     assert [r["num"] for r in Q.trailing_run(df, ["k"], "num", "pos").orderBy("pos").collect()] == [1, 2, 3, 5]
