@@ -72,3 +72,21 @@ def test_gates(spark):
 def test_ratio_without_bound():
     with pytest.raises(ValueError):
         L.shortest_by_bigrams(0.6)
+
+
+def test_frequent_bigrams_write_no_pairs(spark, monkeypatch):
+    """Titles of a few syllables: what is written on the way are titles, not pairs that share a frequent bigram."""
+    rng = random.Random(11)
+    cand = [(i, "".join(rng.choice(["the ", "on", "er", "ha", "st", "en ", "tion", "re"]) for _ in range(20))[:60]) for i in range(600)]
+    goal = [(i, t[:6] + t[7:]) for i, t in cand]
+    written, cut = [], L.cut_lineage
+
+    def counted(df):
+        table = cut(df)
+        written.append(table.count())
+        return table
+
+    monkeypatch.setattr(L, "cut_lineage", counted)
+    out = L.match_titles(spark.createDataFrame(cand, "key int, title string"), spark.createDataFrame(goal, "key int, title string"))
+    assert {r.key: r.cand_key for r in out.collect()} == {i: i for i in range(600)}
+    assert sum(written) < 5 * 600
