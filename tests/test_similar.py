@@ -58,3 +58,36 @@ def test_random_edits_against_brute_force(spark):
 
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_sets_stay_where_they_are(spark, monkeypatch, capsys):
+    """A round sends its pairs to the sets: no exchange of whole sets, whatever the number of rounds."""
+    from sparkaudit.operators import similar
+
+    plans, cut = [], similar.cut_lineage
+
+    def shown(df):
+        if df.columns == ["rep_id", "lead", "ratio"]:
+            capsys.readouterr()
+            df.explain()
+            plans.append(capsys.readouterr().out.split("\n"))
+        return cut(df)
+
+    monkeypatch.setattr(similar, "cut_lineage", shown)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    rng = random.Random(4)
+    base = [f"w{k}" for k in range(120)]
+    rows = [(i, " ".join([*base[: (at := rng.randrange(20, 100))], f"x{i}", *base[at + 1 :]])) for i in range(40)]
+    try:
+        found = near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).where("similar_to IS NOT NULL").count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert found == 39 and plans
+    for lines in plans:
+        scans = [i for i, line in enumerate(lines) if "InMemoryTableScan" in line]
+        assert len(scans) >= 2
+        for i in scans:
+            while any(x in lines[i] for x in ("InMemoryTableScan", "Project", "Filter", "ColumnarToRow")):
+                i -= 1
+            assert "Exchange" not in lines[i]
