@@ -4,14 +4,15 @@
    ``SAMPLED`` times. With a phrase its parts are proposed, too.
 2. A full pass counts every word, and every phrase whose two parts (without its last and without its first word) are
    proposed: these are the proposals themselves and those phrases of their negative border that occur at all.
-3. Border phrases that turn out frequent are failures of the sample. They join the proposals, and a further pass counts
-   what has come into the border by them, and only that. When no pass finds a new one, every frequent phrase has been
-   counted: by induction over its length its two parts are known, so it was in the border. That takes one pass for each
-   length at most.
+3. Border phrases that turn out frequent are failures of the sample. Where there are any, one further pass counts all
+   that they can lead to: each phrase that the first pass left out and that has no part which this pass counted and found
+   infrequent. All parts of a frequent phrase are frequent, so one of the two passes has counted it, whatever the sample
+   said. Without failures every frequent phrase was in the border: by induction over its length its two parts are proposed.
 
-Tasks know the proposals as a table of bits of fixed size (``TABLE_BITS``, so its broadcast has a bound whatever the
-input). A false hit only counts a phrase more. Counts are over the phrases' own text, never over hashes: tasks number the
-words of a run, count runs of numbers, and send each different phrase of a run once, so a hot phrase costs one row a run.
+Tasks know proposals and frequent phrases as tables of bits of fixed size (``TABLE_BITS``, so a broadcast has a bound
+whatever the input). A false hit only counts a phrase more, so the sample is counted by hashes. The two passes count the
+phrases' own text, never hashes: tasks number the words of a run, count runs of numbers, and send each different phrase of
+a run once, so a hot phrase costs one row a run.
 
 Defined results: NULL text is empty, a NULL lang counts as ``und``, together with a real ``und``; doc_ids play no part, so
 rows that repeat count as often as they come; very long texts are cut between words with the last words carried over, so
@@ -46,8 +47,10 @@ _TO = b"abcdefghijklmnopqrstuvwxyz\n\n\n\n\n\n\n\n\n "
 NORMAL = bytes.maketrans(_FROM, _TO)
 
 
-def word_hash(word: bytes, lang: str) -> int:
-    return xxhash.xxh64_intdigest(word, zlib.crc32(lang.encode()))
+def word_hashes(words: pa.Array, lang: str) -> np.ndarray:
+    seed = zlib.crc32(lang.encode())
+    named = words.to_numpy(zero_copy_only=False)  # bytes; faster than to_pylist
+    return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in named), np.uint64, len(named))
 
 
 def longer_hash(first: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -66,6 +69,9 @@ class Bits:
         place = hashes >> np.uint64(64 - self.bits)
         return (self.words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
 
+    def within(self, other: Bits) -> bool:
+        return not (self.words & ~other.words).any()
+
 
 def runs_of(texts: list[bytes], most: int = RUN) -> Iterator[tuple[bytes, int]]:
     """Texts in runs of about ``most`` bytes, normalised, pieces parted by line ends; with the number of words that a run
@@ -94,6 +100,17 @@ def runs_of(texts: list[bytes], most: int = RUN) -> Iterator[tuple[bytes, int]]:
         yield b"\n".join(group).translate(NORMAL), 0
 
 
+def place_and_number(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys numbered in their order: (a place of each number, the number of each key)."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    begins = np.ones(len(keys), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=begins[1:])
+    numbers = np.empty(len(keys), np.int64)
+    numbers[order] = np.cumsum(begins) - 1
+    return order[begins], numbers
+
+
 class Numbered:
     """The words of a run as numbers. Position by position: ``ids``, and whether a piece ends there."""
 
@@ -101,109 +118,174 @@ class Numbered:
         tokens = pc.split_pattern(pa.array([run.replace(b"\n", b" \n ")], pa.large_binary()), b" ").values.dictionary_encode()
         self.words = tokens.dictionary
         ids = tokens.indices.to_numpy()
-        named = {w: i for i, w in enumerate(self.words.to_pylist()) if w in (b"", b"\n")}
-        self.ids = ids[ids != named.get(b"", -1)].astype(np.int64)
-        self.is_word = self.ids != named.get(b"\n", -1)
+        empty, end = (pc.index(self.words, pa.scalar(w, self.words.type)).as_py() for w in (b"", b"\n"))  # -1: none
+        self.ids = ids[ids != empty].astype(np.int64)
+        self.is_word = self.ids != end
 
     def hashes(self, lang: str) -> np.ndarray:
-        return np.array([word_hash(w, lang) for w in self.words.to_pylist()], np.uint64)
+        return word_hashes(self.words, lang)
 
+    def phrases(self, starts: np.ndarray, size: int) -> tuple[pa.Array, np.ndarray]:
+        """(phrases, counts) of the phrases of ``size`` words at ``starts``."""
+        numbers = self.ids[starts]
+        for k in range(1, size):
+            place, numbers = place_and_number(numbers << 32 | self.ids[starts + k])
+        parts = [self.words.take(pa.array(self.ids[starts[place] + k])) for k in range(size)]
+        return pc.binary_join_element_wise(*parts, pa.scalar(b" ", self.words.type)), np.bincount(numbers)
 
-def _members(tables: list[Bits | None], hashes: np.ndarray, ok: list[np.ndarray | None]) -> list[np.ndarray | None]:
-    return [None if t is None else t.holds(hashes) & k for t, k in zip(tables, ok)]
 
+def count_run(run: bytes, carried: int, lang: str, longest: int, proposed: Bits | None, frequent: Bits | None) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """(phrases, counts) of a run: without ``frequent`` the first pass, with it what that pass left out.
 
-def count_run(run: bytes, carried: int, lang: str, longest: int, new: Bits | None, old: Bits | None) -> Iterator[tuple[pa.Array, np.ndarray]]:
-    """(phrases, counts) of a run: what ``new`` lets be counted and ``old`` did not.
-
-    Without ``new`` everything is counted, as in the sample. Without ``old`` the words are counted as well, and all their
-    occurrences under the empty phrase.
+    The first pass counts the words, all their occurrences under the empty phrase, and what ``proposed`` lets be counted;
+    everything where there is none.
     """
     text = Numbered(run)
-    ids, words = text.ids, text.words
     if not text.is_word.any():
         return
-    hashes = text.hashes(lang) if new is not None else np.zeros(len(words), np.uint64)
+    if frequent is None:
+        yield from _count_border(text, carried, lang, longest, proposed)
+    else:
+        yield from _count_missed(text, carried, lang, longest, proposed, frequent)
+
+
+def _count_border(text: Numbered, carried: int, lang: str, longest: int, proposed: Bits | None) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    ids, words = text.ids, text.words
+    hashes = text.hashes(lang) if proposed is not None else np.zeros(len(words), np.uint64)
     fresh = np.arange(len(ids)) >= carried  # a phrase that ends in carried words has been counted
-    if old is None:
-        counts = np.bincount(ids[text.is_word & fresh], minlength=len(words))
-        seen = np.flatnonzero(counts)
-        yield pa.concat_arrays([words.take(pa.array(seen)), pa.array([b""], words.type)]), np.concatenate([counts[seen], [counts.sum()]])
-    # level by level: the phrase number at each start, -1 where there is none, and which phrases are members
-    number = np.where(text.is_word, ids, -1)
+    counts = np.bincount(ids[text.is_word & fresh], minlength=len(words))
+    seen = np.flatnonzero(counts)
+    yield pa.concat_arrays([words.take(pa.array(seen)), pa.array([b""], words.type)]), np.concatenate([counts[seen], [counts.sum()]])
+    # level by level: the phrase number at each start, whether there is a member, and the names and hashes of the numbers
+    number, member = ids, text.is_word if proposed is None else proposed.holds(hashes)[ids] & text.is_word
     phrase, level_hash = words, hashes
-    every = np.ones(len(words), bool)
-    member = [every if t is None else t.holds(hashes) for t in (new, old)]
     for k in range(2, longest + 1):
-        start = np.flatnonzero((number[:-1] >= 0) & (number[1:] >= 0))
-        start = start[start + k - 1 < len(ids)]
-        allowed = member[0][number[start]] & member[0][number[start + 1]]
-        start = start[allowed]
+        start = np.flatnonzero(member[:-1] & member[1:])
         if not len(start):
             return
-        key = number[start] << 32 | ids[start + k - 1]
-        different, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-        where = start[first]
-        counts = np.bincount(inverse[fresh[start + k - 1]], minlength=len(different))
-        send = counts > 0
-        before = np.zeros(len(different), bool)
-        if old is not None:
-            before = member[1][number[where]] & member[1][number[where + 1]]
-            send &= ~before
-        names = pc.binary_join_element_wise(phrase.take(pa.array(number[where])), words.take(pa.array(ids[where + k - 1])), pa.scalar(b" ", phrase.type))
-        chosen = np.flatnonzero(send)
-        if len(chosen):
+        place, different = place_and_number(number[start] << 32 | ids[start + k - 1])
+        counts = np.bincount(different[fresh[start + k - 1]], minlength=len(place))
+        before, last = number[start[place]], ids[start[place] + k - 1]
+        names = pc.binary_join_element_wise(phrase.take(pa.array(before)), words.take(pa.array(last)), pa.scalar(b" ", phrase.type))
+        if counts.all():
+            yield names, counts
+        else:
+            chosen = np.flatnonzero(counts)
             yield names.take(pa.array(chosen)), counts[chosen]
         if k == longest:
             return
-        level_hash = longer_hash(level_hash[number[where]], hashes[ids[where + k - 1]])
-        following = np.full(len(ids), -1, np.int64)
-        following[start] = inverse
-        number, phrase = following, names
-        member = [np.ones(len(different), bool) if new is None else new.holds(level_hash), before if old is None else old.holds(level_hash) & before]
+        number, member = np.zeros(len(ids), np.int64), np.zeros(len(ids), bool)
+        number[start], member[start] = different, True
+        phrase = names
+        if proposed is not None:
+            level_hash = longer_hash(level_hash[before], hashes[last])
+            member[start] = proposed.holds(level_hash)[different]
+
+
+def _count_missed(text: Numbered, carried: int, lang: str, longest: int, proposed: Bits, frequent: Bits) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    ids, hashes = text.ids, text.hashes(lang)
+    word_hash_at = hashes[ids]
+    # at each start: the phrase's hash, whether it is proposed, and whether it may be frequent (found so, or not counted yet)
+    level = word_hash_at.copy()
+    member = proposed.holds(hashes)[ids] & text.is_word
+    may = frequent.holds(hashes)[ids] & text.is_word
+    for k in range(2, longest + 1):
+        start = np.flatnonzero(may[:-1] & may[1:])
+        counted_before = member[start] & member[start + 1]
+        missed = start[~counted_before & (start + k - 1 >= carried)]
+        if len(missed):
+            yield text.phrases(missed, k)
+        if k == longest or not len(start):
+            return
+        level[start] = longer_hash(level[start], word_hash_at[start + k - 1])
+        here = level[start]
+        member, may = np.zeros(len(ids), bool), np.zeros(len(ids), bool)
+        member[start] = counted_before & proposed.holds(here)
+        may[start] = ~counted_before | frequent.holds(here)
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes, int]]:
+    """(lang, run, carried) of batches with ``lang`` and ``text``; see ``runs_of``."""
+    for batch in batches:
+        texts: dict[str, list[bytes]] = {}
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
+            texts.setdefault(lang, []).append(text)
+        for lang, mine in texts.items():
+            for part, carried in runs_of(mine):
+                yield lang, part, carried
 
 
-def counted(docs: DataFrame, longest: int, new: Bits | None = None, old: Bits | None = None) -> DataFrame:
+def _texts(docs: DataFrame) -> DataFrame:
+    return bounded(docs.where("text IS NOT NULL").select(F.coalesce("lang", F.lit("und")).alias("lang"), "text"))
+
+
+def counted(docs: DataFrame, longest: int, proposed: Bits | None = None, frequent: Bits | None = None) -> DataFrame:
     """(lang, phrase, f) summed over all of ``docs`` (lang, text); see ``count_run``. The empty phrase has a lang's words."""
-    tables = docs.sparkSession.sparkContext.broadcast((new, old))
+    tables = docs.sparkSession.sparkContext.broadcast((proposed, frequent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        new, old = tables.value
-        for batch in batches:
-            texts: dict[str, list[bytes]] = {}
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
-                texts.setdefault(lang, []).append(text)
-            for lang, mine in texts.items():
-                for part, carried in runs_of(mine):
-                    for phrases, counts in count_run(part, carried, lang, longest, new, old):
-                        for low in range(0, len(counts), 1 << 16):
-                            some = phrases[low : low + (1 << 16)].cast(pa.large_string()).cast(pa.string())
-                            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), some, pa.array(counts[low : low + len(some)], pa.int64())], ["lang", "phrase", "f"])
+        for lang, part, carried in _runs(batches):
+            for phrases, counts in count_run(part, carried, lang, longest, *tables.value):
+                for low in range(0, len(counts), 1 << 16):
+                    some = phrases[low : low + (1 << 16)].cast(pa.large_string()).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), some, pa.array(counts[low : low + len(some)], pa.int64())], ["lang", "phrase", "f"])
+
+    return _texts(docs).mapInArrow(run, "lang string, phrase string, f bigint").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+
+
+def run_hashes(run: bytes, carried: int, lang: str, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hashes, counts) of all phrases of 1 to ``longest`` words of a run."""
+    text = Numbered(run)
+    words = text.hashes(lang)[text.ids]
+    level, inside = words, text.is_word
+    for k in range(1, longest + 1):
+        yield np.unique(level[inside & (np.arange(k - 1, len(inside) + k - 1) >= carried)], return_counts=True)
+        level, inside = longer_hash(level[:-1], words[k:]), inside[:-1] & inside[1:]
+
+
+def proposals(docs: DataFrame, longest: int, sampled: int) -> DataFrame:
+    """(hash) of the phrases of 1 to ``longest`` words that occur ``sampled`` times or more in ``docs`` (lang, text)."""
 
-    rows = docs.where("text IS NOT NULL").select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    return bounded(rows).mapInArrow(run, "lang string, phrase string, f bigint").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, part, carried in _runs(batches):
+            for hashes, counts in run_hashes(part, carried, lang, longest):
+                for low in range(0, len(counts), 1 << 16):
+                    some = slice(low, low + (1 << 16))
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes[some].view(np.int64)), pa.array(counts[some], pa.int64())], ["hash", "f"])
+
+    found = _texts(docs).mapInArrow(run, "hash bigint, f bigint").groupBy("hash").agg(F.sum("f").alias("f"))
+    return found.where(F.col("f") >= sampled).select("hash")
 
 
-def as_bits(phrases: DataFrame, bits: int = TABLE_BITS) -> np.ndarray:
-    """The table of bits with the hashes of ``phrases`` (lang, phrase). At most 2^(bits - 6) rows come to the driver."""
+def hashed(phrases: DataFrame) -> DataFrame:
+    """(hash) of ``phrases`` (lang, phrase)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << (bits - 6), np.uint64)
         for batch in batches:
-            for lang, phrase in zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist()):
-                hashes = [np.array([word_hash(w, lang)], np.uint64) for w in phrase.encode().split(b" ")]
-                h = hashes[0]
-                for w in hashes[1:]:
-                    h = longer_hash(h, w)
-                place = int(h[0]) >> (64 - bits)
-                table[place >> 6] |= np.uint64(1 << (place & 63))
-        here = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(here, pa.int64()), pa.array(table[here].view(np.int64))], ["slot", "bits"])
-
+            for lang in batch.column("lang").unique():
+                mine = batch.column("phrase").filter(pc.equal(batch.column("lang"), lang)).cast(pa.large_binary())
+                split = pc.split_pattern(mine, b" ")
+                first = split.offsets.to_numpy()[:-1].astype(np.int64)
+                size = split.value_lengths().to_numpy()
+                named = split.values.dictionary_encode()
+                words = word_hashes(named.dictionary, lang.as_py())[named.indices.to_numpy()]
+                level = words[first]
+                for k in range(1, size.max(initial=0)):
+                    more = size > k
+                    level[more] = longer_hash(level[more], words[first[more] + k])
+                yield pa.RecordBatch.from_arrays([pa.array(level.view(np.int64))], ["hash"])
+
+    return phrases.select("lang", "phrase").mapInArrow(run, "hash bigint")
+
+
+def as_bits(hashes: DataFrame, bits: int = TABLE_BITS) -> Bits:
+    """The table of bits with ``hashes`` (hash). At most 2^(bits - 6) rows come to the driver."""
+    place = F.shiftrightunsigned("hash", 64 - bits)
+    set_bits = hashes.select(F.shiftrightunsigned(place, 6).alias("slot"), F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(63).cast("int")).alias("bit"))
+    got = set_bits.groupBy("slot").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(1 << (bits - 6), np.uint64)
-    got = phrases.select("lang", "phrase").mapInArrow(run, "slot bigint, bits bigint").groupBy("slot").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
     out[got.column("slot").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
-    return out
+    return Bits(out, bits)
 
 
 def _words_in(phrase: Column | str) -> Column:
@@ -215,16 +297,12 @@ def frequent(docs: DataFrame, least: int = 30, longest: int = 4, share: int = SH
     and the number of all words of each language under the empty phrase."""
     texts = docs.select("lang", F.col("text").cast("string").alias("text"))
     chosen = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(share)) == 0).select("lang", F.col("text").cast("string").alias("text"))
-    proposed = counted(chosen, longest - 1).where((F.col("f") >= sampled) & (F.col("phrase") != ""))
-    new, old, found = Bits(as_bits(proposed, bits), bits), None, None
-    while True:
-        these = cut_lineage(counted(texts, longest, new, old).where((F.col("f") >= least) | (F.col("phrase") == "")))
-        found = these if found is None else found.unionByName(these)
-        failures = these.where((F.col("phrase") != "") & (_words_in("phrase") < longest))
-        wider = new.words | as_bits(failures, bits)
-        if np.array_equal(wider, new.words):
-            return found
-        new, old = Bits(wider, bits), new
+    proposed = as_bits(proposals(chosen, longest - 1, sampled), bits)
+    found = cut_lineage(counted(texts, longest, proposed).where((F.col("f") >= least) | (F.col("phrase") == "")))
+    known = as_bits(hashed(found.where((F.col("phrase") != "") & (_words_in("phrase") < longest))), bits)
+    if known.within(proposed):
+        return found
+    return found.unionByName(cut_lineage(counted(texts, longest, proposed, known).where(F.col("f") >= least)))
 
 
 def scored(found: DataFrame) -> DataFrame:

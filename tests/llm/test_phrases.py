@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from sparkaudit.llm import phrases as P
@@ -81,3 +83,55 @@ def test_products_past_64_bits(spark):
     f = [("en", "", 10 * big), ("en", "a", 3 * big), ("en", "b", 2 * big), ("en", "a b", big + 7)]
     row = P.scored(spark.createDataFrame(f, "lang string, phrase string, f bigint")).first()
     assert (row.a, row.l, row.r, row.score) == (big + 7, 3 * big, 2 * big, 2000000 * (big + 7) // (5 * big))
+
+
+def bits_of(phrases, lang="en", bits=20):
+    table = np.zeros(1 << (bits - 6), np.uint64)
+    for phrase in phrases:
+        words = P.word_hashes(pa.array([w.encode() for w in phrase.split(" ")], pa.binary()), lang)
+        level = words[:1]
+        for k in range(1, len(words)):
+            level = P.longer_hash(level, words[k : k + 1])
+        place = int(level[0]) >> (64 - bits)
+        table[place >> 6] |= np.uint64(1 << (place & 63))
+    return P.Bits(table, bits)
+
+
+def counts_of(text, most, proposed, frequent):
+    out = Counter()
+    for part, carried in P.runs_of([text.encode()], most):
+        for names, counts in P.count_run(part, carried, "en", 4, proposed, frequent):
+            out.update(dict(zip((n.decode() for n in names.to_pylist()), counts.tolist())))
+    return out
+
+
+@pytest.mark.parametrize("share", [0, 0.3, 0.7, 1])
+@pytest.mark.parametrize("most", [60, P.RUN])
+def test_second_pass_counts_the_rest(share, most):
+    """Whatever is proposed, the two passes count each frequent phrase in one of them, and none in both."""
+    text = "\n".join(t for _, _, t in corpus(3, 80) if t)
+    whole = counts_of(text, most, None, None)
+    rng = random.Random(4)
+    proposed = bits_of([p for p in whole if p and p.count(" ") < 3 and rng.random() < share])
+    first = counts_of(text, most, proposed, None)
+    frequent = bits_of([p for p, n in first.items() if p and n >= 3 and p.count(" ") < 3])
+    second = counts_of(text, most, proposed, frequent)
+    assert not set(first) & set(second) and bool(second) == (share < 1)
+    assert all(whole[p] == n for p, n in [*first.items(), *second.items()])
+    assert {p for p, n in whole.items() if n >= 3} == {p for p, n in [*first.items(), *second.items()] if n >= 3}
+
+
+def test_two_passes_at_most(spark, monkeypatch):
+    """A sample that misses all lengths costs one more pass over the texts, not one for each length."""
+    passes, counted = [], P.counted
+    monkeypatch.setattr(P, "counted", lambda *a, **k: passes.append(a) or counted(*a, **k))
+    rows = corpus(5, 120)
+    assert run(spark, rows, least=5, most=50, share=1000000) == brute([(lang, t) for _, lang, t in rows], 5, 50)
+    assert len(passes) == 2
+
+
+def test_hashes_of_phrases(spark):
+    """A found phrase has the hash that the sample gave it."""
+    want = {int(h) for lang in ("en", "de") for some, _ in P.run_hashes(b"a b\n a  c", 0, lang, 3) for h in some.view(np.int64)}
+    found = spark.createDataFrame([(lang, p) for lang in ("en", "de") for p in ("a", "b", "c", "a b", "a c")], "lang string, phrase string")
+    assert {r.hash for r in P.hashed(found).collect()} == want and len(want) == 10
