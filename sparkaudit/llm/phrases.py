@@ -106,8 +106,9 @@ def place_and_number(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ordered = keys[order]
     begins = np.ones(len(keys), bool)
     np.not_equal(ordered[1:], ordered[:-1], out=begins[1:])
-    numbers = np.empty(len(keys), np.int64)
-    numbers[order] = np.cumsum(begins) - 1
+    del ordered
+    numbers = np.empty(len(keys), np.int32)
+    numbers[order] = np.cumsum(begins, dtype=np.int32) - np.int32(1)
     return order[begins], numbers
 
 
@@ -119,7 +120,7 @@ class Numbered:
         self.words = tokens.dictionary
         ids = tokens.indices.to_numpy()
         empty, end = (pc.index(self.words, pa.scalar(w, self.words.type)).as_py() for w in (b"", b"\n"))  # -1: none
-        self.ids = ids[ids != empty].astype(np.int64)
+        self.ids = ids[ids != empty]
         self.is_word = self.ids != end
 
     def hashes(self, lang: str) -> np.ndarray:
@@ -129,7 +130,7 @@ class Numbered:
         """(phrases, counts) of the phrases of ``size`` words at ``starts``."""
         numbers = self.ids[starts]
         for k in range(1, size):
-            place, numbers = place_and_number(numbers << 32 | self.ids[starts + k])
+            place, numbers = place_and_number(numbers.astype(np.int64) << 32 | self.ids[starts + k])
         parts = [self.words.take(pa.array(self.ids[starts[place] + k])) for k in range(size)]
         return pc.binary_join_element_wise(*parts, pa.scalar(b" ", self.words.type)), np.bincount(numbers)
 
@@ -163,7 +164,7 @@ def _count_border(text: Numbered, carried: int, lang: str, longest: int, propose
         start = np.flatnonzero(member[:-1] & member[1:])
         if not len(start):
             return
-        place, different = place_and_number(number[start] << 32 | ids[start + k - 1])
+        place, different = place_and_number(number[start].astype(np.int64) << 32 | ids[start + k - 1])
         counts = np.bincount(different[fresh[start + k - 1]], minlength=len(place))
         before, last = number[start[place]], ids[start[place] + k - 1]
         names = pc.binary_join_element_wise(phrase.take(pa.array(before)), words.take(pa.array(last)), pa.scalar(b" ", phrase.type))
@@ -174,7 +175,7 @@ def _count_border(text: Numbered, carried: int, lang: str, longest: int, propose
             yield names.take(pa.array(chosen)), counts[chosen]
         if k == longest:
             return
-        number, member = np.zeros(len(ids), np.int64), np.zeros(len(ids), bool)
+        number, member = np.zeros(len(ids), np.int32), np.zeros(len(ids), bool)
         number[start], member[start] = different, True
         phrase = names
         if proposed is not None:
