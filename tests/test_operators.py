@@ -122,6 +122,21 @@ def test_cells_of_a_grid_are_never_shuffled(spark, capsys):
     assert plan.index("Generate") < plan.index("Exchange")
 
 
+def test_cells_of_a_grid_stay_small_on_disk(spark, tmp_path):
+    """Cells come in strips, so that a whole grid takes a small part of a byte for each; keys on no axis, NULL keys and another type change nothing."""
+    a, b = spark.range(2000).selectExpr("cast(id AS int) AS a"), spark.range(5000).selectExpr("if(id = 9, NULL, id * 7) AS b")
+    held = spark.range(20_000).selectExpr("id * 7919 % 2000 AS a", "id * 104729 % 5000 * 7 AS b").where("b <> 63")
+    fact = held.union(held).union(spark.createDataFrame([(5, 3), (2 ** 40, 7), (-1, 7), (None, 7), (5, None)], "a bigint, b bigint"))
+    N.grid_gaps(a, b, fact, "a", "b").write.parquet(str(tmp_path / "grid"))
+    grid = spark.read.parquet(str(tmp_path / "grid"))
+    assert grid.count() == grid.distinct().count() == 2000 * 4999 - held.distinct().count()
+    assert grid.join(held, ["a", "b"]).isEmpty() and grid.where("a NOT BETWEEN 0 AND 1999 OR b % 7 > 0 OR b NOT BETWEEN 0 AND 34993 OR b = 63").isEmpty()
+    assert sum(f.stat().st_size for f in (tmp_path / "grid").glob("*.parquet")) < 0.4 * grid.count()
+    unknown = N.grid_gaps(spark.createDataFrame([(None,), (1,), (1,)], "a bigint"), b.limit(20), fact, "a", "b")
+    assert unknown.where("a IS NULL").count() == b.limit(20).where("b IS NOT NULL").count()
+    assert N.grid_gaps(a, b.limit(0), fact, "a", "b").isEmpty() and N.grid_gaps(a.limit(0), b, fact, "a", "b").isEmpty()
+
+
 def test_sequences(spark):
     df = spark.createDataFrame([("d", p, n) for p, n in enumerate([1, 2, 9, 1, 2, 3, 5])], "k string, pos bigint, num bigint")
     assert [r["num"] for r in Q.trailing_run(df, ["k"], "num", "pos").orderBy("pos").collect()] == [1, 2, 3, 5]
