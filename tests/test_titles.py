@@ -90,3 +90,37 @@ def test_frequent_bigrams_write_no_pairs(spark, monkeypatch):
     out = L.match_titles(spark.createDataFrame(cand, "key int, title string"), spark.createDataFrame(goal, "key int, title string"))
     assert {r.key: r.cand_key for r in out.collect()} == {i: i for i in range(600)}
     assert sum(written) < 5 * 600
+
+
+def test_every_page_is_looked_up(spark):
+    from sparkaudit.plans import load_all
+    from sparkaudit.plans.registry import QUERIES, Tables
+    from sparkaudit.plans.relational_queries import page_titles
+
+    load_all()
+    folder = "/root/testdata/sf0.001"
+    titles = [(r.key, r.title) for r in page_titles(Tables(spark, folder)).select("key", "title").collect()]
+    rows = {r.key: (r.cand_key, r.ratio) if r.status == "matched" else None for r in QUERIES["join_title_gate"](spark, folder).collect()}
+    want = brute(titles, [(k, t[:6] + t[7:]) for k, t in titles], 0.85)
+    assert rows == {k: v and (v[0], round(v[1], 4)) for k, v in want.items()} and len(rows) == len(titles) > 20
+
+
+@pytest.mark.parametrize("ratio,hot", [(0.95, 200), (0.98, 200), (0.9, 200), (0.95, 3)])
+def test_no_near_pair_is_lost(spark, monkeypatch, ratio, hot):
+    """Pairs of few letters, also repeated ones; with a low ``HOT``, whole targets are left out, and the products find their matches."""
+    monkeypatch.setattr(L, "HOT", hot)
+    rng = random.Random(5)
+    base = sorted({"".join(rng.choice("ab ") for _ in range(rng.choice([1, 5, 20, 25, 26, 40, 60, 90]))) for _ in range(60)} | {"ab" * 30, "ab" * 31, "x" + "ab" * 30, "ein. " * 12})
+    base += ["a common beginning of titles, " + "".join(rng.choice("ab ") for _ in range(30)) for _ in range(6)]
+    goal = sorted({edited(rng, edited(rng, t, 2), 2) for t in base for _ in range(2)} - {""})
+    frame = lambda titles: spark.createDataFrame([(t,) for t in titles], "title string")
+    got = {(r.cand_title, r.target_title): r.ratio for r in L.near_titles(frame(base), frame(goal), ratio).collect()}
+    want = {(a, b): r for a in base for b in goal if (r := SequenceMatcher(None, a, b).ratio()) >= ratio}
+    if hot == 200:
+        assert got == want and len(want) > 40
+    else:
+        left = {b for _, b in got}
+        assert got == {(a, b): r for (a, b), r in want.items() if b in left} and len(left) < len({b for _, b in want})
+    cand = list(enumerate(base))
+    out = L.match_titles(spark.createDataFrame(cand, "key int, title string"), spark.createDataFrame(list(enumerate(goal)), "key int, title string"))
+    assert {r.key: (r.cand_key, round(r.ratio, 9)) if r.status == "matched" else None for r in out.collect()} == brute(cand, list(enumerate(goal)), 0.85)
